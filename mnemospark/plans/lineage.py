@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 REPO_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+_LOCAL: dict[str, str] = {}
+
 
 def ship_code(spark: SparkSession) -> None:
     """Let Python workers import this package (on a cluster use --py-files or an installed wheel)."""
@@ -28,8 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     if where is None:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="mnemospark-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if "dir" not in _LOCAL:
+            _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="mnemospark-")
+        where = _LOCAL["dir"]
     return where.rstrip("/")
 
 
