@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, simhash
+from mnemospark.llm import bpe, simhash, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,27 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of their decoded text."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_decode(docs, VOCABULARY, full=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@_query
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, size and checksum, read back from the shard files."""
+    return wavelet.read_shards(wavelet.write_shards(_table(spark, sf_dir, "documents"), VOCABULARY))
+
+
+@_query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the archives."""
+    found = warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op2_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+m AS (SELECT payload_digest, max(page_id) AS original FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, d.payload_digest,
+       CASE WHEN original IS NULL OR original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN original <> page_id THEN original END AS refers_to
+FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest AND payload_bytes >= 1000
+"""
