@@ -26,6 +26,7 @@ import os
 import re
 import tempfile
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import islice
@@ -43,8 +44,8 @@ from tokenizers import Tokenizer
 LEXICON = 1 << 15
 #: Counters that a task keeps.
 COUNTERS = 1 << 16
-#: Pieces whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Pieces, and words, whose ids a worker remembers.
+REMEMBERED, KNOWN = 900_000, 1_000_000
 #: Words longer than this are merged with a heap.
 LONG = 48
 #: White space by Unicode; str.split() has four separators more.
@@ -104,18 +105,18 @@ class Vocabulary:
         if len(ids) > LONG:
             return self._merge_long(ids)
         get, none = self.pairs.get, 1 << 60
-        while len(ids) > 1:
-            best = none
-            left = ids[0]
-            for i in range(1, len(ids)):
-                right = ids[i]
-                found = get(left << 16 | right, none)
-                if found < best:
-                    best, at = found, i
-                left = right
+        ranks = [get(x << 16 | y, none) for x, y in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
             if best == none:
                 break
-            ids[at - 1 : at + 1] = [best & 0xFFFF]
+            i = ranks.index(best)
+            ids[i] = best & 0xFFFF
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 16 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 16 | ids[i + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -257,14 +258,18 @@ class Encoder(dict):
             if found is None:
                 found = np.asarray(self.vocabulary.merge(word), "<u2").tobytes() if len(word) > LONG else b"".join(map(_PACKED.__getitem__, self.vocabulary.merge(word)))
             if len(word) <= LONG:
-                if len(self.known) >= REMEMBERED:
+                if len(self.known) >= KNOWN:
                     self.known.clear()
                 self.known[word] = found
         return found
 
     def __missing__(self, piece: str) -> bytes:
         v = self.vocabulary
-        if v.special and "<" in piece and v.special.search(piece):
+        if piece.isascii() and piece.isalpha():
+            found = self.word(piece.lower())
+        elif piece[-1] in ".,!?;:" and piece[:-1].isalpha() and piece.isascii():
+            found = self.word(piece[:-1].lower()) + self.word(piece[-1])
+        elif v.special and "<" in piece and v.special.search(piece):
             out, at = [], 0
             for m in v.special.finditer(piece):
                 out += map(self.word, self.words(piece[at : m.start()]))
@@ -311,7 +316,8 @@ def _reduce(counts: Counter, size: int) -> Counter:
     """The Misra-Gries summary of counts with at most ``size`` counters."""
     if len(counts) <= size:
         return counts
-    off = heapq.nlargest(size + 1, counts.values())[-1]
+    values = np.fromiter(counts.values(), np.int64, len(counts))
+    off = int(np.partition(values, len(values) - size - 1)[len(values) - size - 1])
     return Counter({w: c - off for w, c in counts.items() if c > off})
 
 
@@ -341,7 +347,7 @@ def deliver_lexicon(docs: DataFrame, path: str, text: str = "text", size: int =
     top = word_counts(docs, path, text).orderBy(F.desc("n"), "word").limit(size).collect()
     v = Vocabulary(path)
     data = compile_lexicon({r.word: v.merge(r.word) for r in top if r.word})
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:16]}.bin"
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
     folder = tempfile.mkdtemp(prefix="lexicon-")
     with open(os.path.join(folder, name), "wb") as f:
         f.write(data)
