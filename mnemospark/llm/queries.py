@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, simhash, warc, wavelet
+from mnemospark.llm import bpe, pii, simhash, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,19 @@ SELECT page_id, payload_bytes, d.payload_digest,
        CASE WHEN original <> page_id THEN original END AS refers_to
 FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest AND payload_bytes >= 1000
 """
+
+
+@_query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and list of the personal data in every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = F.col("__spans")
+
+    def joined(of: Column) -> Column:
+        return F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter(spans, lambda s: s["kind"] != "term")
+    return pii.sanitise(docs).select("doc_id", *map(count, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
