@@ -52,6 +52,10 @@ LONG = 48
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 MAGIC = b"LEX1"
+NONE = np.uint32(0xFFFFFFFF)
+HASH = np.uint32(2654435769)
+#: Characters whose new pieces are learned together.
+TOGETHER = 4_000_000
 
 
 def _byte_symbols() -> list[str]:
@@ -65,7 +69,7 @@ class Vocabulary:
     """What a tokenizer file with word ends says: ids, merge ranks, special tokens and the word pattern."""
 
     def __init__(self, path: str) -> None:
-        self.path, self.rules = path, None
+        self.path, self.rules, self.hashed = path, None, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -80,11 +84,11 @@ class Vocabulary:
         symbols = _byte_symbols()
         self.inner = [ids[s] for s in symbols]
         self.last = [ids[s + end] for s in symbols]
-        # a pair of ids -> rank << 16 | id of the merged token
-        self.pairs = {}
+        # by the pair's first id: second id -> rank << 16 | id of the merged token
+        self.pairs: list[dict[int, int]] = [{} for _ in range(size)]
         for rank, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self.pairs[ids[a] << 16 | ids[b]] = rank << 16 | ids[a + b]
+            self.pairs[ids[a]][ids[b]] = rank << 16 | ids[a + b]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
         self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
@@ -104,21 +108,108 @@ class Vocabulary:
         ids[-1] = self.last[raw[-1]]
         if len(ids) > LONG:
             return self._merge_long(ids)
-        get, none = self.pairs.get, 1 << 60
-        ranks = [get(x << 16 | y, none) for x, y in zip(ids, ids[1:], strict=False)]
+        pairs, none = self.pairs, 1 << 60
+        ranks = [pairs[x].get(y, none) for x, y in zip(ids, ids[1:], strict=False)]
         while ranks:
             best = min(ranks)
             if best == none:
                 break
             i = ranks.index(best)
-            ids[i] = best & 0xFFFF
+            ids[i] = new = best & 0xFFFF
             del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get(ids[i - 1] << 16 | ids[i], none)
+                ranks[i - 1] = pairs[ids[i - 1]].get(new, none)
             if i < len(ranks):
-                ranks[i] = get(ids[i] << 16 | ids[i + 1], none)
+                ranks[i] = pairs[new].get(ids[i + 1], none)
         return ids
 
+    def _table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of ids in an open-addressed table, for lookups of many pairs at once."""
+        if self.hashed is None:
+            keys = np.asarray([a << 16 | b for a, row in enumerate(self.pairs) for b in row], np.uint32)
+            values = np.asarray([v for row in self.pairs for v in row.values()], np.uint32)
+            slots, held = np.zeros(1 << 18, np.uint32), np.full(1 << 18, NONE, np.uint32)
+            at, left = (keys * HASH) >> np.uint32(14), np.arange(len(keys))
+            while len(left):
+                free = held[at[left]] == NONE
+                _, first = np.unique(at[left[free]], return_index=True)
+                put = left[free][first]
+                slots[at[put]], held[at[put]] = keys[put], values[put]
+                left = np.setdiff1d(left, put)
+                at[left] = (at[left] + 1) & np.uint32((1 << 18) - 1)
+            self.hashed = slots, held
+        return self.hashed
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """rank << 16 | merged id of each pair, or NONE."""
+        slots, held = self._table()
+        key = a.astype(np.uint32) << np.uint32(16) | b.astype(np.uint32)
+        at = (key * HASH) >> np.uint32(14)
+        out = held[at]
+        again = np.flatnonzero((slots[at] != key) & (out != NONE))
+        out[again] = NONE
+        while len(again):
+            at[again] = (at[again] + 1) & np.uint32((1 << 18) - 1)
+            found, k = held[at[again]], slots[at[again]] == key[again]
+            out[again[k]] = found[k]
+            again = again[~k & (found != NONE)]
+        return out
+
+    def merge_all(self, words: list[str]) -> list[bytes]:
+        """merge() of many words at once, as 16-bit ids."""
+        raw = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        out: list[bytes] = [b""] * len(raw)
+        low = 1
+        for width in (1, 4, 8, 12, 16, 24, LONG):
+            some = np.flatnonzero((sizes >= low) & (sizes <= width))
+            low = width + 1
+            if len(some):
+                for at in range(0, len(some), 1 << 15):
+                    part = some[at : at + (1 << 15)]
+                    for i, ids in zip(part.tolist(), self._merge_rows([raw[i] for i in part], sizes[part], width), strict=True):
+                        out[i] = ids
+        for i in np.flatnonzero(sizes > LONG).tolist():
+            out[i] = np.asarray(self.merge(words[i]), "<u2").tobytes()
+        return out
+
+    def _merge_rows(self, raw: list[bytes], sizes: np.ndarray, width: int) -> list[bytes]:
+        """Words of up to ``width`` bytes, one per row; each round merges every row's best pair."""
+        byte = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in raw), np.uint8).reshape(-1, width)
+        ids = np.zeros((len(raw), width + 1), np.uint16)
+        ids[:, :width] = np.asarray(self.inner, np.uint16)[byte]
+        n, every = sizes.copy(), np.arange(len(raw))
+        ids[every, n - 1] = np.asarray(self.last, np.uint16)[byte[every, n - 1]]
+        ranks = np.full((len(raw), width + 1), NONE, np.uint32)
+        for j in range(width - 1):
+            some = np.flatnonzero(n > j + 1)
+            ranks[some, j] = self._ranks(ids[some, j], ids[some, j + 1])
+        done, cols = ids.copy(), np.arange(width)
+        while len(every):
+            at = ranks.argmin(1)
+            here = np.arange(len(every))
+            best = ranks[here, at]
+            stop = best == NONE
+            if stop.any():
+                done[every[stop]] = ids[stop]
+                go = ~stop
+                every, ids, ranks, at, best = every[go], ids[go], ranks[go], at[go], best[go]
+                here = np.arange(len(every))
+            if not len(every):
+                break
+            ids[here, at] = (best & np.uint32(0xFFFF)).astype(np.uint16)
+            after = cols >= at[:, None]
+            ids[:, :width] = np.where(cols > at[:, None], ids[:, 1:], ids[:, :width])
+            ranks[:, :width] = np.where(after, ranks[:, 1:], ranks[:, :width])
+            n[every] -= 1
+            has = np.flatnonzero(at > 0)
+            ranks[has, at[has] - 1] = self._ranks(ids[has, at[has] - 1], ids[has, at[has]])
+            has = np.flatnonzero(at < n[every] - 1)
+            ranks[has, at[has]] = self._ranks(ids[has, at[has]], ids[has, at[has] + 1])
+        flat = done.tobytes()
+        step = 2 * (width + 1)
+        return [flat[i * step : i * step + 2 * k] for i, k in enumerate(n.tolist())]
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same by a heap of pairs over a linked list."""
         n = len(ids)
@@ -127,7 +218,7 @@ class Vocabulary:
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < n and (found := self.pairs.get(ids[i] << 16 | ids[j])) is not None:
+            if j < n and (found := self.pairs[ids[i]].get(ids[j])) is not None:
                 heapq.heappush(heap, (found, i, ids[i], ids[j]))
 
         for i in range(n - 1):
@@ -265,10 +356,12 @@ class Encoder(dict):
 
     def __missing__(self, piece: str) -> bytes:
         v = self.vocabulary
-        if piece.isascii() and piece.isalpha():
-            found = self.word(piece.lower())
-        elif piece[-1] in ".,!?;:" and piece[:-1].isalpha() and piece.isascii():
-            found = self.word(piece[:-1].lower()) + self.word(piece[-1])
+        # below the first combining mark a text is its own normal form
+        low = piece.lower() if piece.isascii() or max(piece) <= "ɏ" else ""
+        if low.isalpha():
+            found = self.known.get(low) or self.word(low)
+        elif low and low[-1] in ".,!?;:" and low[:-1].isalpha():
+            found = (self.known.get(low[:-1]) or self.word(low[:-1])) + self.word(low[-1])
         elif v.special and "<" in piece and v.special.search(piece):
             out, at = [], 0
             for m in v.special.finditer(piece):
@@ -284,12 +377,55 @@ class Encoder(dict):
             self[piece] = found
         return found
 
+    def _learn(self, pieces: set[str]) -> None:
+        """Take in new pieces; those that are one word, or one and a mark, all at once."""
+        plain = [p for p in pieces if p.isascii() or max(p) <= "ɏ"]
+        lows = "\n".join(plain).lower().split("\n") if plain else []
+        known, ready, new = self.known, [], {}
+        for piece, low in zip(plain, lows, strict=True):
+            if low.isalpha():
+                word, mark = low, ""
+            elif low[-1] in ".,!?;:" and low[:-1].isalpha():
+                word, mark = low[:-1], low[-1]
+            else:
+                continue
+            ready.append((piece, word, mark))
+            if word not in known:
+                new[word] = None
+        if len(known) + len(new) > KNOWN:
+            known.clear()
+            new = {w: None for _, w, _ in ready}
+        words = list(new)
+        if self.lexicon:
+            found = {w: x for w in words if (x := self.lexicon.find(w)) is not None}
+            known.update(found)
+            words = [w for w in words if w not in found]
+        known.update(zip(words, self.vocabulary.merge_all(words), strict=True))
+        marks = {m: self.word(m) if m else b"" for m in ("", *".,!?;:")}
+        self.update((p, known[w] + marks[m]) for p, w, m in ready)
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """All ids of each text as little-endian 16-bit numbers."""
+        out: list[bytes] = []
+        held: list[list[str]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            held.append((text.split() if not SEPARATORS.search(text) else [p for p in SPACE.split(text) if p]) if text else [])
+            size += len(text or "")
+            if size >= TOGETHER or i == len(texts) - 1:
+                new = set().union(*held).difference(self)
+                if len(self) + len(new) > REMEMBERED:
+                    self.clear()
+                    new = set().union(*held)
+                self._learn(new)
+                out += [b"".join(map(self.__getitem__, pieces)) for pieces in held]
+                held.clear()
+                size = 0
+        return out
+
     def encode(self, text: str | None) -> bytes:
-        """All ids of a text as little-endian 16-bit numbers."""
-        if not text:
-            return b""
-        pieces = text.split() if not SEPARATORS.search(text) else [p for p in SPACE.split(text) if p]
-        return b"".join(map(self.__getitem__, pieces))
+        """All ids of one text."""
+        return self.encode_all([text])[0]
 
 
 _PACKED = [i.to_bytes(2, "little") for i in range(1 << 16)]
@@ -369,8 +505,8 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", full: bool = T
         tokens = e.vocabulary.tokens
         for b in batches:
             rows = []
-            for t in b.column(text).to_pylist():
-                ids = np.frombuffer(e.encode(t), "<u2").tolist()
+            for raw in e.encode_all(b.column(text).to_pylist()):
+                ids = np.frombuffer(raw, "<u2").tolist()
                 decoded = decode(ids, tokens)
                 row = [len(ids), hashlib.sha256(" ".join(map(_DECIMAL.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
                 rows.append([*row, ids, decoded] if full else row)

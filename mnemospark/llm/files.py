@@ -5,6 +5,10 @@ from __future__ import annotations
 import re
 
 from pyarrow import fs
+from pyspark.sql import DataFrame
+
+#: Most tasks that one list of files is dealt to.
+MOST_TASKS = 4096
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
@@ -26,3 +30,12 @@ def read_file(uri: str) -> bytes:
     where, path = open_fs(uri)
     with where.open_input_stream(path, compression=None) as f:
         return f.read()
+
+
+def spread_files(files: DataFrame) -> DataFrame:
+    """Rows of a small table of file names, dealt to a task each (or to MOST_TASKS of them).
+
+    The number is explicit, since Spark would put a list this small into one task.
+    """
+    n = max(1, min(files.count(), MOST_TASKS))
+    return files.repartition(n, "path")

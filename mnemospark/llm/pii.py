@@ -182,8 +182,12 @@ def disclosures(found: DataFrame, docs: DataFrame, text: str = "text", support:
 
 
 def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """``docs`` with __spans (base and term spans, each with its kind) and __clean, the text without them, appended."""
-    found = cut(find(docs, text).withColumn("__row", F.monotonically_increasing_id()), "pii")
+    """``docs`` with __spans (base and term spans, each with its kind) and __clean, the text without them, appended.
+
+    Texts without an entity are scanned and passed on; only the others are written and joined.
+    """
+    scanned = find(docs, text)
+    found = cut(scanned.where(F.size("__spans") > 0).withColumn("__row", F.monotonically_increasing_id()), "pii")
     flagged = disclosures(found, docs, text, support, generalise)
     near = found.select("__row", F.explode("__near").alias("x")).select("__row", "x.entity", "x.term", "x.starts")
     hits = (
@@ -213,4 +217,5 @@ def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, genera
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(spans, kind), pa.array(clean, pa.string())], [*kept, "__spans", "__clean"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(run, f"{fields}, __spans {SPAN}, __clean string")
+    rest = scanned.where(F.size("__spans") == 0).select(*kept, "__spans", F.col(text).alias("__clean"))
+    return joined.mapInArrow(run, f"{fields}, __spans {SPAN}, __clean string").unionByName(rest)

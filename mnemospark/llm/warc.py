@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.files import read_file, write_file
+from mnemospark.llm.files import read_file, spread_files, write_file
 from mnemospark.plans.lineage import cut, shared_path
 
 #: Payloads below so many bytes are always stored.
@@ -164,5 +164,5 @@ def read_archives(files: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    spread = files.select("path").repartition("path")
+    spread = spread_files(files.select("path"))
     return spread.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")

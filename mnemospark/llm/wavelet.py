@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mnemospark.llm import bpe
-from mnemospark.llm.files import read_file, write_file
+from mnemospark.llm.files import read_file, spread_files, write_file
 from mnemospark.plans.lineage import cut, shared_path
 
 MAGIC = b"WVM1"
@@ -61,9 +61,9 @@ def build(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> byte
             ranks.append(np.concatenate(([0], np.cumsum(ones)[:-1])).astype("<u4"))
             blocks += [pack(plane[s : s + BLOCK].tobytes()) for s in starts]
         high = bit.view(bool)
-        low = row[~high]
+        low = np.compress(~high, row)
         zeros.append(len(low))
-        row = np.concatenate((low, row[high]))
+        row = np.concatenate((low, np.compress(high, row)))
     lengths = np.asarray([len(b) for b in blocks], "<u4")
     null = np.packbits(np.asarray([i is None for i in doc_ids], bool)) if doc_ids else np.empty(0, np.uint8)
     head = b"".join(
@@ -173,8 +173,8 @@ class Shard:
             plane = b"".join(self.unpack(self.data[self.ends[k] : self.ends[k + 1]]) for k in ks)
             high = np.unpackbits(np.frombuffer(plane, np.uint8), count=self.n).view(bool)
             zeros, above = int(self.zeros[level]), np.empty_like(row)
-            above[~high] = row[:zeros]
-            above[high] = row[zeros:] | np.uint16(1 << (self.depth - 1 - level))
+            above[np.flatnonzero(~high)] = row[:zeros]
+            above[np.flatnonzero(high)] = row[zeros:] | np.uint16(1 << (self.depth - 1 - level))
             row = above
         return self.alphabet[row] if self.n else np.empty(0, "<u4")
 
@@ -201,8 +201,8 @@ def write_shards(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
             return pa.RecordBatch.from_pydict(row)
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = e.encode(t) + closing
+            for i, x in zip(b.column(0).to_pylist(), e.encode_all(b.column(1).to_pylist()), strict=True):
+                x += closing
                 if ids and count + len(x) // 2 > limit:
                     yield close()
                 ids.append(i)
@@ -236,5 +236,5 @@ def read_shards(files: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    spread = files.select("path", "start").repartition("path")
+    spread = spread_files(files.select("path", "start"))
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -29,6 +29,15 @@ def test_same_ids_as_the_library(text):
     assert mine(bpe.Encoder(VOCABULARY), text) == wanted(text)[0]
 
 
+def test_many_words_at_once():
+    import random
+
+    rng = random.Random(7)
+    words = ["".join(rng.choice(["th", "e", "ing", "q", "é", "ß", "an", "x"]) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    assert VOCABULARY.merge_all(words) == [b"".join(bpe._PACKED[i] for i in VOCABULARY.merge(w)) for w in words]
+    assert VOCABULARY.merge_all([]) == []
+
+
 def test_lexicon_is_exact_and_shares_suffixes(tmp_path):
     words = {w: VOCABULARY.merge(w) for w in ["working", "walking", "talking", "talk", "worked", "é", "élan", "a"]}
     (tmp_path / "l").write_bytes(bpe.compile_lexicon(words))
