@@ -45,17 +45,23 @@ LEXICON = 1 << 15
 #: Counters that a task keeps.
 COUNTERS = 1 << 16
 #: Pieces, and words, whose ids a worker remembers.
-REMEMBERED, KNOWN = 900_000, 1_000_000
+REMEMBERED, KNOWN = 600_000, 600_000
 #: Words longer than this are merged with a heap.
 LONG = 48
 #: White space by Unicode; str.split() has four separators more.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
+#: What keeps a text from being lowered and cut before its marks as a whole: letters that may change form,
+#: separators and a special token's start, and a mark that follows another one and so belongs to its word.
+ODD = re.compile("[\u0250-\U0010ffff\x1c-\x1f<_]")
+JOINED = re.compile(r"[!-/:-@\[-`{-\xbf\xd7\xf7][.,]")
+#: Marks of one word when they stand together.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MAGIC = b"LEX1"
 NONE = np.uint32(0xFFFFFFFF)
 HASH = np.uint32(2654435769)
-#: Characters whose new pieces are learned together.
-TOGETHER = 4_000_000
+#: Characters whose new pieces are learned together, and whose pieces are looked up together.
+TOGETHER, PART = 6_000_000, 400_000
 
 
 def _byte_symbols() -> list[str]:
@@ -385,10 +391,11 @@ class Encoder(dict):
         for piece, low in zip(plain, lows, strict=True):
             if low.isalpha():
                 word, mark = low, ""
-            elif low[-1] in ".,!?;:" and low[:-1].isalpha():
-                word, mark = low[:-1], low[-1]
             else:
-                continue
+                word = low.rstrip(MARKS)
+                mark = low[len(word) :]
+                if not word.isalpha() or len(mark) > LONG:
+                    continue
             ready.append((piece, word, mark))
             if word not in known:
                 new[word] = None
@@ -401,25 +408,40 @@ class Encoder(dict):
             known.update(found)
             words = [w for w in words if w not in found]
         known.update(zip(words, self.vocabulary.merge_all(words), strict=True))
-        marks = {m: self.word(m) if m else b"" for m in ("", *".,!?;:")}
+        marks = {m: self.word(m) if m else b"" for m in {m for _, _, m in ready}}
         self.update((p, known[w] + marks[m]) for p, w, m in ready)
 
+    def pieces(self, text: str) -> list[str]:
+        """A text cut at white space, and before full stops and commas where that changes no word."""
+        if not ODD.search(text) and not JOINED.search(text):
+            return text.lower().replace(",", " ,").replace(".", " .").split()
+        return text.split() if not SEPARATORS.search(text) else [p for p in SPACE.split(text) if p]
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """All ids of each text as little-endian 16-bit numbers."""
         out: list[bytes] = []
+        waiting: list[tuple[list[list[str]], dict[str, bytes], list[str]]] = []
         held: list[list[str]] = []
-        size = 0
-        for i, text in enumerate(texts):
-            held.append((text.split() if not SEPARATORS.search(text) else [p for p in SPACE.split(text) if p]) if text else [])
-            size += len(text or "")
-            if size >= TOGETHER or i == len(texts) - 1:
-                new = set().union(*held).difference(self)
+        part = size = 0
+        # a part's own table stays in the processor's cache, so the large one is asked once for each piece in it
+        for i, text in enumerate(texts, 1):
+            held.append(self.pieces(text) if text else [])
+            part += len(text or "")
+            if part >= PART or i == len(texts):
+                pieces = set().union(*held)
+                ids = dict(zip(pieces, map(self.get, pieces), strict=True))
+                waiting.append((held, ids, [p for p, x in ids.items() if x is None]))
+                size += part
+                held, part = [], 0
+            if size >= TOGETHER or i == len(texts):
+                new = set().union(*(lacking for _, _, lacking in waiting))
                 if len(self) + len(new) > REMEMBERED:
                     self.clear()
-                    new = set().union(*held)
                 self._learn(new)
-                out += [b"".join(map(self.__getitem__, pieces)) for pieces in held]
-                held.clear()
+                for rows, ids, lacking in waiting:
+                    ids.update((p, self[p]) for p in lacking)
+                    out += [b"".join(map(ids.__getitem__, row)) for row in rows]
+                waiting.clear()
                 size = 0
         return out
 
@@ -464,7 +486,7 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         e, pieces = encoder(path), Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                pieces.update((t or "").split())
+                pieces.update(e.pieces(t or ""))
                 if len(pieces) > 4 * COUNTERS:
                     pieces = _reduce(pieces, COUNTERS)
         counts: Counter = Counter()

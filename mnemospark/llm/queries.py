@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, pii, simhash, warc, wavelet
+from mnemospark.llm import bpe, decontaminate, pii, simhash, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,29 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = F.filter(spans, lambda s: s["kind"] != "term")
     return pii.sanitise(docs).select("doc_id", *map(count, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
+
+
+@_query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds."""
+    leaks = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "start_word", "n_words", F.round("similarity", 6).alias("similarity"))
+
+
+_SHINGLES = """
+SELECT id, n, p, array_to_string(w[p + 1:p + 5], ' ') AS g FROM (
+  SELECT id, w, len(w) AS n, unnest(range(len(w) - 4)) AS p FROM (
+    SELECT {id} AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '') AS w FROM {table}))
+"""
+ORACLES["op8_decontamination"] = f"""
+WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}), b AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
+k AS (SELECT id AS item_id, n, g, count(*) AS c FROM b GROUP BY ALL),
+hit AS (SELECT d.id AS doc_id, d.n AS doc_n, p, d.g, item_id, k.n AS n, c FROM d JOIN k ON d.g = k.g),
+s AS (SELECT DISTINCT doc_id, doc_n, item_id, n, p AS start_word FROM hit),
+o AS (SELECT s.doc_id, s.doc_n, s.item_id, s.n, start_word, hit.g, least(count(*), any_value(c)) AS m
+      FROM s JOIN hit ON s.doc_id = hit.doc_id AND s.item_id = hit.item_id AND p >= start_word AND p < start_word + s.n - 4 GROUP BY ALL),
+r AS (SELECT doc_id, item_id, n, start_word, sum(m) AS both, least(n - 4, doc_n - 4 - start_word) AS a FROM o GROUP BY ALL),
+q AS (SELECT *, both / (n - 4 + a - both) AS similarity FROM r)
+SELECT doc_id, item_id, CAST(arg_min(start_word, (-similarity, start_word)) AS BIGINT) AS start_word, CAST(n AS BIGINT) AS n_words, round(max(similarity), 6) AS similarity
+FROM q WHERE similarity >= 0.8 - 1e-12 GROUP BY doc_id, item_id, n
+"""

@@ -6,8 +6,8 @@ bits of the planes before; ranks are kept per BLOCK of bits. That gives the toke
 position, the count of a token in a range and its k-th occurrence from one file, whose
 blocks are compressed singly and unpacked when they are read.
 
-Shards follow the document ids in ascending order: the table is partitioned by range,
-each task writes files of at most SHARD_TOKENS ids (or one document), and a file's
+Shards follow the document ids in ascending order: the table is partitioned by quantiles
+of its ids, each task writes files of at most SHARD_TOKENS ids (or one document), and a file's
 first position is the sum of what the files before it hold; only one total per
 partition reaches the driver for that.
 
@@ -179,7 +179,7 @@ class Shard:
         return self.alphabet[row] if self.n else np.empty(0, "<u4")
 
 
-def write_shards(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", end: int = END, folder: str | None = None, limit: int = SHARD_TOKENS) -> DataFrame:
+def write_shards(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", end: int = END, folder: str | None = None, limit: int = SHARD_TOKENS, partitions: int | None = None) -> DataFrame:
     """Encode all texts into files; one row per file: (shard, part, path, n_docs, n_tokens, start)."""
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "tokens")
@@ -211,7 +211,12 @@ def write_shards(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
         if ids:
             yield close()
 
-    ordered = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the edges come from a scan of the ids alone; a range partitioning by Spark would scan the texts for its sample
+    edges = rows.select(F.col("doc_id").cast("double").alias("d")).stat.approxQuantile("d", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
+    place = F.coalesce(F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e <= F.col("doc_id").cast("double"))), F.lit(0)) if edges else F.lit(0)
+    ordered = rows.repartitionById(n, place.cast("int")).sortWithinPartitions("doc_id", "text")
     files = cut(ordered.mapInArrow(run, "shard long, part long, path string, n_docs long, n_tokens long"), "shards")
     before, bases = 0, []
     for r in files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect():
