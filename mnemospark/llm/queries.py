@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, decontaminate, pii, simhash, warc, wavelet
+from mnemospark.llm import bpe, decontaminate, pii, simhash, toxicity, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,18 @@ q AS (SELECT *, both / (n - 4 + a - both) AS similarity FROM r)
 SELECT doc_id, item_id, CAST(arg_min(start_word, (-similarity, start_word)) AS BIGINT) AS start_word, CAST(n AS BIGINT) AS n_words, round(max(similarity), 6) AS similarity
 FROM q WHERE similarity >= 0.8 - 1e-12 GROUP BY doc_id, item_id, n
 """
+
+
+#: Documents are rejected from this score on.
+TOXIC = 0.7
+
+
+@_query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, learned from the labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, toxicity.learnable(_table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= TOXIC).cast("int").alias("predicted"), F.col("__evidence").alias("evidence")
+    )
