@@ -1,11 +1,14 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Features of a text are its words and the beginnings of its words (PREFIXES letters), as
-sets of counts. Examples are a bounded sample of the labelled rows, drawn by a hash of
-their ids, at most EXAMPLES of each label. Of their features the FEATURES that tell the
-labels apart best (chi-square, in at least LEAST_TEXTS examples) span the vector space,
-so that chance likeness of common words doesn't drown the signal. Document frequencies
-of those features are counted over all texts. Weights are (1 + ln tf) * ln(1 + N / df).
+Features of a text are its words, the beginnings of its words (PREFIXES letters), and the
+beginnings that at least two different words of the text share.
+Examples are a bounded sample of the labelled rows, drawn by a hash of their ids, at
+most EXAMPLES of each label. Of the features that are more frequent in toxic examples,
+those that tell the labels apart (chi-square of at least LEAST_CHI, the FEATURES highest)
+span the vector space, so that chance likeness of common words doesn't drown the
+signal. Document frequencies of those features are counted over all texts. Weights are
+(1 + ln tf) * ln(1 + N / df). Selection counts are summed by task and feature on the
+executors; the driver gets chosen features and the examples' vectors over them.
 
 The index holds, for each feature, postings in blocks of BLOCK examples and the largest
 weight of each block. A query's bound for a block is its weights times those maxima;
@@ -34,42 +37,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXAMPLES = 1500
+from mnemospark.plans.lineage import cut
+
+#: Labelled rows drawn of label 0 and of label 1.
+EXAMPLES = (12_000, 3_000)
 FEATURES = 4096
-LEAST_TEXTS = 4
-PREFIXES = (4, 5, 6)
+#: The 0.001 point of the distribution with one degree of freedom.
+LEAST_CHI = 10.83
+LEAST_TEXTS = 3
+PREFIXES = (4, 5, 6, 7, 8)
 NEIGHBOURS = 15
 BLOCK = 64
+#: Partial counts that a task holds before it passes them on.
+HELD = 300_000
 WORD = re.compile(r"\w+")
 
 
-def features(text: str | None) -> Counter:
-    """Words, and with a caret the beginnings of longer words, with their counts."""
-    words = Counter(WORD.findall(text.lower())) if text else Counter()
-    out = Counter(words)
-    for w, n in words.items():
-        for k in PREFIXES:
-            if len(w) > k:
-                out["^" + w[:k]] += n
-    return out
-
-
-def select(examples: list[tuple[Counter, int]], most: int = FEATURES, least: int = LEAST_TEXTS) -> list[str]:
-    """The features that tell the labels of the examples apart best."""
-    df = [Counter(), Counter()]
-    for f, y in examples:
-        df[y].update(f.keys())
-    n = [max(1, sum(y == k for _, y in examples)) for k in (0, 1)]
-    total = sum(n)
+def features(text: str | None) -> set[str]:
+    """Words, with a caret the beginnings of longer words, and with two those that several words share."""
+    words = set(WORD.findall(text.lower())) if text else set()
+    begun = Counter(w[:k] for w in words for k in PREFIXES if len(w) > k)
+    return words | {"^" + p for p in begun} | {"^^" + p for p, n in begun.items() if n > 1}
+
+
+class Space:
+    """Counts of the chosen features of texts."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.words = {f: i for i, f in enumerate(names) if f[0] != "^"}
+        self.once = {f[1:]: i for i, f in enumerate(names) if f[0] == "^" and f[:2] != "^^"}
+        self.again = {f[2:]: i for i, f in enumerate(names) if f[:2] == "^^"}
+        self.beginnings = self.once.keys() | self.again.keys()
+
+    def counts(self, text: str | None) -> dict[int, int]:
+        out: dict[int, int] = {}
+        begun: dict[str, list[int]] = {}
+        known, beginnings = self.words, self.beginnings
+        for w, n in Counter(WORD.findall(text.lower())).items() if text else ():
+            if w in known:
+                out[known[w]] = n
+            for k in PREFIXES:
+                if len(w) <= k:
+                    break
+                if (p := w[:k]) in beginnings:
+                    begun.setdefault(p, []).append(n)
+        for p, ns in begun.items():
+            if p in self.once:
+                out[self.once[p]] = sum(ns)
+            if len(ns) > 1 and p in self.again:
+                out[self.again[p]] = len(ns) - 1
+        return out
+
+
+def select(examples: DataFrame, sizes: tuple[int, int]) -> list[str]:
+    """The features of ``examples`` (text, toxic) that mark toxic ones best."""
 
-    def chi(f: str) -> float:
-        a, b = df[1][f], df[0][f]
-        top = a * (n[0] - b) - b * (n[1] - a)
-        return total * top * top / max(1, (a + b) * (total - a - b) * n[0] * n[1])
-
-    # the 0.001 point of the distribution with one degree of freedom
-    found = [(chi(f), f) for f in df[0] | df[1] if df[0][f] + df[1][f] >= least]
-    return [f for c, f in sorted(found, key=lambda x: (-x[0], x[1]))[:most] if c > 10.83]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def rows() -> pa.RecordBatch:
+            names = list(df[0] | df[1])
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in df)], ["f", "b", "a"])
+            df[0].clear(), df[1].clear()
+            return out
+
+        for batch in batches:
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                df[y].update(features(t))
+                if len(df[0]) > HELD:
+                    yield rows()
+        yield rows()
+
+    n0, n1 = (float(max(1, n)) for n in sizes)
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    top = a * (n0 - b) - b * (n1 - a)
+    chi = (n0 + n1) * top * top / F.greatest(F.lit(1.0), (a + b) * (n0 + n1 - a - b) * n0 * n1)
+    summed = examples.select("text", "toxic").mapInArrow(run, "f string, b long, a long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    found = summed.where((a / n1 > b / n0) & (a + b >= LEAST_TEXTS)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI)
+    return [r.f for r in found.orderBy(F.desc("chi"), "f").limit(FEATURES).collect()]
 
 
 class Index:
@@ -110,23 +155,21 @@ class Index:
 class Model:
     """What the executors need to score texts."""
 
-    def __init__(self, names: list[str], idf: np.ndarray, ids: list[int], labels: list[int], counts: list[Counter], shares: tuple[float, float]) -> None:
-        self.number = {f: i for i, f in enumerate(names)}
-        self.idf = idf
-        self.ids, self.labels = ids, np.asarray(labels, np.int64)
-        vectors = [self.vector(c) for c in counts]
+    def __init__(self, names: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], sizes: tuple[int, int], shares: tuple[float, float]) -> None:
+        """``examples``: (id, label, counts) of those that have a chosen feature; sizes: of all examples by label."""
+        self.space, self.idf = Space(names), idf
+        self.ids, self.labels = [i for i, _, _ in examples], np.asarray([y for _, y, _ in examples], np.int64)
+        vectors = [self.vector(c) for _, _, c in examples]
         self.index = Index(vectors, len(names))
-        each = [max(1, int((self.labels == k).sum())) for k in (0, 1)]
-        weight = np.asarray([shares[y] / each[y] for y in labels])
-        bare = np.asarray([not v for v in vectors], bool)
-        below = weight[bare].sum()
-        self.bare = float((weight * self.labels)[bare].sum() / below) if below else shares[1]
-        votes = [self.vote(self.index.nearest(v, NEIGHBOURS, i)) if v else None for i, v in enumerate(vectors)]
+        weight = [shares[k] / max(1, sizes[k]) for k in (0, 1)]
+        bare = [weight[k] * (sizes[k] - int((self.labels == k).sum())) for k in (0, 1)]
+        self.bare = bare[1] / sum(bare) if sum(bare) > 0 else shares[1]
+        votes = [self.vote(self.index.nearest(v, NEIGHBOURS, i)) for i, v in enumerate(vectors)]
         own = [i for i, v in enumerate(votes) if v is not None]
-        self.curve = logistic(np.asarray([votes[i] for i in own]), self.labels[own], weight[own]) if own else (0.0, 0.0)
+        self.curve = logistic(np.asarray([votes[i] for i in own]), self.labels[own], np.asarray([weight[self.labels[i]] for i in own])) if own else (0.0, 0.0)
 
-    def vector(self, counts: Counter) -> dict[int, float]:
-        v = {i: (1 + math.log(n)) * self.idf[i] for f, n in counts.items() if (i := self.number.get(f)) is not None}
+    def vector(self, counts: dict[int, int]) -> dict[int, float]:
+        v = {i: (1 + math.log(n)) * self.idf[i] for i, n in counts.items()}
         norm = math.sqrt(sum(w * w for w in v.values()))
         return {i: w / norm for i, w in v.items()} if norm else {}
 
@@ -136,7 +179,7 @@ class Model:
 
     def score(self, text: str | None) -> tuple[float, str]:
         """Score, and as evidence the three nearest examples as id:label:cosine."""
-        v = self.vector(features(text))
+        v = self.vector(self.space.counts(text))
         near = self.index.nearest(v, NEIGHBOURS) if v else []
         vote = self.vote(near)
         if vote is None:
@@ -163,18 +206,14 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 
 def feature_df(docs: DataFrame, names: list[str], text: str = "text") -> tuple[int, np.ndarray]:
     """The number of texts, and of those that hold each feature; one row of sums per task and feature."""
-    number = {f: i for i, f in enumerate(names)}
+    size = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(number) + 1, np.int64)
-        beginnings = {f[1:]: i for f, i in number.items() if f[0] == "^"}
+        sums, space = np.zeros(size + 1, np.int64), Space(names)
         for b in batches:
             for t in b.column(0).to_pylist():
                 sums[-1] += 1
-                words = set(WORD.findall(t.lower())) if t else ()
-                found = {number[w] for w in words if w in number}
-                found |= {i for w in words for k in PREFIXES if len(w) > k and (i := beginnings.get(w[:k])) is not None}
-                sums[list(found)] += 1
+                sums[list(space.counts(t))] += 1
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["at", "n"])
 
@@ -185,23 +224,32 @@ def feature_df(docs: DataFrame, names: list[str], text: str = "text") -> tuple[i
     return int(out[-1]), out[:-1]
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", examples: int = EXAMPLES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", most: tuple[int, int] = EXAMPLES) -> Model:
     """Fit on the rows of ``labels`` (doc_id, toxic) that it is given."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    total = sum(sizes.values())
-    shares = tuple(sizes.get(k, 0) / total if total else 1.0 - k for k in (0, 1))
-    drawn = [r for k in (0, 1) for r in known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).collect()]
-    toxic = {r.doc_id: r.toxic for r in drawn}
-    ids = docs.sparkSession.createDataFrame([(r.doc_id,) for r in drawn], "__id long")
-    wanted = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(ids), "__id", "left_semi").groupBy("__id").agg(F.max("text").alias("text"))
-    rows = sorted((r["__id"], features(r.text)) for r in wanted.toLocalIterator()) if drawn else []
-    pairs = [(f, toxic[i]) for i, f in rows]
-    names = select(pairs)
+    totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    total = sum(totals.values())
+    shares = tuple(totals.get(k, 0) / total if total else 1.0 - k for k in (0, 1))
+    drawn = [(r.doc_id, r.toxic) for k in (0, 1) for r in known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[k]).collect()]
+    ids = docs.sparkSession.createDataFrame(drawn, "id long, toxic int")
+    # at most sum(most) rows are broadcast
+    examples = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id")
+    examples = cut(examples.groupBy("id", "toxic").agg(F.max("text").alias("text")), "examples")
+    sizes = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    sizes = (sizes.get(0, 0), sizes.get(1, 0))
+    names = select(examples, sizes)
     n, df = feature_df(docs, names, text)
-    keep = set(names)
-    counts = [Counter({f: c for f, c in x.items() if f in keep}) for x, _ in pairs]
-    return Model(names, np.log(1 + n / np.maximum(df, 1)), [i for i, _ in rows], [y for _, y in pairs], counts, shares)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = Space(names)
+        for b in batches:
+            rows = [(i, y, list(c), list(c.values())) for i, y, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) if (c := space.counts(t))]
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["id", "toxic", "at", "n"])
+
+    rows = examples.select("id", "toxic", "text").mapInArrow(run, "id long, toxic int, at array<long>, n array<long>").collect()
+    vectors = sorted((r.id, r.toxic, dict(zip(r.at, r.n, strict=True))) for r in rows)
+    return Model(names, np.log(1 + n / np.maximum(df, 1)), vectors, sizes, shares)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
