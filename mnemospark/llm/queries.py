@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, chat, decontaminate, html, pii, simhash, toxicity, warc, wavelet
+from mnemospark.llm import bpe, chat, decontaminate, html, media, pii, simhash, toxicity, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +148,9 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
        CAST(sum(13 + length(replace(replace(text, '\', '\\'), '<|', '\l|')) + length(replace(replace(replace(replace(role, '\', '\\'), '<|', '\l|'), '|', '\p'), chr(10), '\n'))) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
 """
+
+
+@_query
+def op9_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copy class and number of links of every vector of ``embeddings``, drawn as an image; no table holds images."""
+    return media.copies(media.rendered(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
