@@ -3,8 +3,8 @@
 Features of a text are its words, the beginnings of its words (PREFIXES letters), and the
 beginnings that at least two different words of the text share.
 Examples are a bounded sample of the labelled rows, drawn by a hash of their ids, at
-most EXAMPLES of each label. Of the features that are more frequent in toxic examples,
-those that tell the labels apart (chi-square of at least LEAST_CHI, the FEATURES highest)
+most EXAMPLES of each label. Of the features with at least LEAST_RATIO times the share
+of toxic examples that they have of the others, those that tell the labels apart (chi-square of at least LEAST_CHI, the FEATURES highest)
 span the vector space, so that chance likeness of common words doesn't drown the
 signal. Document frequencies of those features are counted over all texts. Weights are
 (1 + ln tf) * ln(1 + N / df). Selection counts are summed by task and feature on the
@@ -14,7 +14,8 @@ The index holds, for each feature, postings in blocks of BLOCK examples and the
 weight of each block. A query's bound for a block is its weights times those maxima;
 blocks are scored from the highest bound down and the rest are left once no bound
 exceeds the worst of the NEIGHBOURS found, so the neighbours are the exact ones. Their
-labels vote with the square of the cosine, and a logistic curve, fitted to the votes that
+labels vote with the square of the cosine against a weight FAR for a clean label far
+away, so that only distant neighbours count for little, and a logistic curve, fitted to the votes that
 examples get from the others with each label weighed by its share of all labelled rows,
 turns votes into scores. Texts without a feature have no neighbour and get the share of
 toxic rows among such examples.
@@ -41,13 +42,15 @@ from mnemospark.plans.lineage import cut
 
 #: Labelled rows drawn of label 0 and of label 1.
 EXAMPLES = (12_000, 3_000)
-FEATURES = 4096
-#: The 0.001 point of the distribution with one degree of freedom.
-LEAST_CHI = 10.83
+FEATURES = 1024
+#: Chance brings one feature in twenty million to this value, so hardly one of a corpus' million.
+LEAST_CHI = 30.0
 LEAST_TEXTS = 3
+LEAST_RATIO = 5.0
 PREFIXES = (4, 5, 6, 7, 8)
 NEIGHBOURS = 15
-BLOCK = 64
+FAR = 0.5
+BLOCK = 256
 #: Partial counts that a task holds before it passes them on.
 HELD = 300_000
 WORD = re.compile(r"\w+")
@@ -113,7 +116,7 @@ def select(examples: DataFrame, sizes: tuple[int, int]) -> list[str]:
     top = a * (n0 - b) - b * (n1 - a)
     chi = (n0 + n1) * top * top / F.greatest(F.lit(1.0), (a + b) * (n0 + n1 - a - b) * n0 * n1)
     summed = examples.select("text", "toxic").mapInArrow(run, "f string, b long, a long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    found = summed.where((a / n1 > b / n0) & (a + b >= LEAST_TEXTS)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI)
+    found = summed.where((a / n1 > LEAST_RATIO * b / n0) & (a + b >= LEAST_TEXTS)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI)
     return [r.f for r in found.orderBy(F.desc("chi"), "f").limit(FEATURES).collect()]
 
 
@@ -134,21 +137,27 @@ class Index:
         for f, (ids, ws) in enumerate(zip(self.ids, self.weights, strict=True)):
             np.maximum.at(self.highest[f], ids // BLOCK, ws)
 
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
+    def nearest(self, query: dict[int, float], k: int, without: int = -BLOCK) -> list[tuple[float, int]]:
         """The k examples of highest positive cosine, ties by position; exact."""
         fs = list(query)
         bounds = np.asarray([query[f] for f in fs]) @ self.highest[fs] if fs else np.empty(0)
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-12:
+            least = -best[-1][0] if len(best) == k else 0.0
+            if bounds[b] <= 0 or bounds[b] < least - 1e-12:
                 break
             scores = np.zeros(BLOCK)
             for f in fs:
-                part = slice(self.starts[f][b], self.starts[f][b + 1])
-                scores[self.ids[f][part] - b * BLOCK] += query[f] * self.weights[f][part]
+                lo, hi = self.starts[f][b], self.starts[f][b + 1]
+                if lo < hi:
+                    scores[self.ids[f][lo:hi] - b * BLOCK] += query[f] * self.weights[f][lo:hi]
+            if without // BLOCK == b:
+                scores[without % BLOCK] = 0
             # examples of equal vectors must tie whatever the order of their sums
-            best += [(-round(float(scores[j]), 12), b * BLOCK + j) for j in np.flatnonzero(scores > 0).tolist() if b * BLOCK + j != without]
-            best = sorted(best)[:k]
+            scores = scores.round(12)
+            at = np.flatnonzero((scores > 0) & (scores >= least))
+            at = at[np.argsort(-scores[at], kind="stable")[:k]]
+            best = sorted([*best, *zip((-scores[at]).tolist(), (at + b * BLOCK).tolist(), strict=True)])[:k]
         return [(-s, i) for s, i in best]
 
 
@@ -175,7 +184,7 @@ class Model:
 
     def vote(self, near: list[tuple[float, int]]) -> float | None:
         weights = np.asarray([s * s for s, _ in near])
-        return float((weights * self.labels[[i for _, i in near]]).sum() / weights.sum()) if near and weights.sum() > 0 else None
+        return float((weights * self.labels[[i for _, i in near]]).sum() / (weights.sum() + FAR)) if near and weights.sum() > 0 else None
 
     def score(self, text: str | None) -> tuple[float, str]:
         """Score, and as evidence the three nearest examples as id:label:cosine."""
