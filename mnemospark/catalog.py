@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from mnemospark.queries import analytics, memory  # noqa: F401
 from mnemospark.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
