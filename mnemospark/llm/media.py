@@ -36,11 +36,11 @@ from mnemospark.operators.components import connected_components
 from mnemospark.plans.lineage import cut
 
 LEVELS = 2
-CORNERS = 40
+CORNERS = 24
 BITS = 128
 PATCH = 8
 TURNS = 30
-RADIUS = 5
+RADIUS = 3
 CONSENSUS = 4
 #: Side of a bin of places, in pixels.
 PLACE = 4.0
@@ -214,19 +214,19 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def matches(found: DataFrame) -> DataFrame:
     """Descriptor pairs within RADIUS: a corner (of key a) and a leader's (of key b < a), with the change that the pair says."""
-    rows = None
-    for k, (m0, m1) in enumerate(_blocks()):
-        part = found.withColumn("cell", F.xxhash64(F.lit(k), F.col("d0").bitwiseAND(F.lit(m0)), F.col("d1").bitwiseAND(F.lit(m1))))
-        rows = part if rows is None else rows.unionByName(part)
-    names = ["key", "x", "y", "level", "turn", "d0", "d1"]
-    ordered = rows.select("cell", *names).repartition("cell").sortWithinPartitions("cell", "key", "level", "y", "x")
+    half = lambda c: F.round(F.col(c) * 2).cast("long")
+    place = F.shiftleft(F.col("level"), 52) + F.shiftleft(F.col("turn"), 44) + F.shiftleft(half("y"), 22) + half("x")
+    cells = F.array(*(F.xxhash64(F.lit(k), F.col("d0").bitwiseAND(F.lit(m0)), F.col("d1").bitwiseAND(F.lit(m1))) for k, (m0, m1) in enumerate(_blocks())))
+    rows = found.select(F.explode(cells).alias("cell"), "key", place.alias("place"), "d0", "d1")
+    ordered = rows.repartition("cell").sortWithinPartitions("cell", "key", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell: int | None = None
         leaders = np.empty((0, 7), np.int64)  # key, x, y (halves), level, turn, d0, d1
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
-            own = np.stack([cols[1], (cols[2] * 2).astype(np.int64), (cols[3] * 2).astype(np.int64), *cols[4:]], 1).astype(np.int64)
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            low = (1 << 22) - 1
+            own = np.stack([cols[1], cols[2] & low, cols[2] >> 22 & low, cols[2] >> 52, cols[2] >> 44 & 255, cols[3], cols[4]], 1)
             out: list[np.ndarray] = []
             edges = np.flatnonzero(np.diff(cols[0])) + 1
             for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(own)], strict=True):

@@ -90,7 +90,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHINGLES = """
 SELECT id, n, p, array_to_string(w[p + 1:p + 5], ' ') AS g FROM (
   SELECT id, w, len(w) AS n, unnest(range(len(w) - 4)) AS p FROM (
-    SELECT {id} AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '') AS w FROM {table}))
+    SELECT {id} AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {table}))
 """
 ORACLES["op8_decontamination"] = f"""
 WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}), b AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
