@@ -42,6 +42,8 @@ PATCH = 8
 TURNS = 30
 RADIUS = 3
 CONSENSUS = 4
+#: Descriptor pairs compared at a time.
+COMPARED = 1 << 20
 #: Side of a bin of places, in pixels.
 PLACE = 4.0
 
@@ -239,10 +241,15 @@ def matches(found: DataFrame) -> DataFrame:
                     continue
                 todo = own[lo:hi]
                 if len(leaders):
-                    near = _distance(todo[:, None], leaders[None]) <= RADIUS
-                    i, j = np.nonzero(near & (todo[:, None, 0] != leaders[None, :, 0]))
-                    out.append(np.concatenate((todo[i], leaders[j]), 1))
-                    todo = todo[~near.any(1)]
+                    left = []
+                    step = max(1, COMPARED // len(leaders))
+                    for at in range(0, len(todo), step):
+                        some = todo[at : at + step]
+                        near = _distance(some[:, None], leaders[None]) <= RADIUS
+                        i, j = np.nonzero(near & (some[:, None, 0] != leaders[None, :, 0]))
+                        out.append(np.concatenate((some[i], leaders[j]), 1))
+                        left.append(some[~near.any(1)])
+                    todo = np.concatenate(left)
                 while len(todo):
                     fresh, todo = todo[:1], todo[1:]
                     leaders = np.concatenate((leaders, fresh))
@@ -311,7 +318,7 @@ def write_pgm(grey: np.ndarray) -> bytes:
 
 
 def rendered(vectors: DataFrame, vector_id: str, vector: str, cell: int = 8) -> DataFrame:
-    """(image_id, image): square vectors drawn as images, a square of ``cell`` pixels for each value."""
+    """(image_id, image): square vectors drawn as images, a square of ``cell`` pixels for each value, smoothed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -319,7 +326,7 @@ def rendered(vectors: DataFrame, vector_id: str, vector: str, cell: int = 8) ->
             for v in b.column(1).to_pylist():
                 side = int(len(v or ()) ** 0.5)
                 ok = side and side * side == len(v) and not any(x is None for x in v)
-                out.append(write_pgm(np.kron(128 + 400 * np.asarray(v).reshape(side, side), np.ones((cell, cell)))) if ok else None)
+                out.append(write_pgm(_box(np.kron(128 + 400 * np.asarray(v).reshape(side, side), np.ones((cell, cell))), cell // 2 - 1)) if ok else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["image_id", "image"])
 
     return vectors.select(F.col(vector_id).cast("long"), vector).mapInArrow(run, "image_id long, image binary")
