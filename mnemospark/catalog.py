@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemospark.queries import analytics, forecasts, graphs, memory, recommendations, search  # noqa: F401
+from mnemospark.queries import analytics, forecasts, graphs, memory, reasoning, recommendations, search, texts  # noqa: F401
 from mnemospark.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
