@@ -40,12 +40,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 from tokenizers import Tokenizer
 
+from mnemospark.llm.arrow import arrow_map
+
 #: Words compiled into the lexicon.
 LEXICON = 1 << 15
 #: Counters that a task keeps.
 COUNTERS = 1 << 16
 #: Pieces, and words, whose ids a worker remembers.
-REMEMBERED, KNOWN = 600_000, 600_000
+REMEMBERED, KNOWN = 400_000, 400_000
 #: Words longer than this are merged with a heap.
 LONG = 48
 #: White space by Unicode; str.split() has four separators more.
@@ -497,7 +499,7 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         while part := list(islice(rows, 1 << 14)):
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part]), pa.array([n for _, n in part])], ["word", "n"])
 
-    return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return arrow_map(docs.select(text), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def deliver_lexicon(docs: DataFrame, path: str, text: str = "text", size: int = LEXICON) -> str:
@@ -536,4 +538,4 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", full: bool = T
             new = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)] if rows else [pa.array([], k) for k in kinds[: len(added)]]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *new], [*kept, *added])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return arrow_map(docs.select(*kept), run, schema)

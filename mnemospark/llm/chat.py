@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from mnemospark.llm.arrow import arrow_map
 from mnemospark.plans.lineage import cut
 
 #: Characters after which a part is closed.
@@ -138,7 +139,7 @@ def turns_of_records(records: DataFrame, record_id: str, record: str) -> DataFra
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["conv_id", "fingerprint", "turn", "role", "text"])
 
-    return records.select(F.col(record_id).cast("long"), record).mapInArrow(run, "conv_id long, fingerprint string, turn long, role string, text string")
+    return arrow_map(records.select(F.col(record_id).cast("long"), record), run, "conv_id long, fingerprint string, turn long, role string, text string")
 
 
 def turns_of_table(df: DataFrame) -> DataFrame:
@@ -231,7 +232,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
         close()
         yield emit()
 
-    return cut(ordered.mapInArrow(run, "conv_id long, part long, text string, mask array<struct<start:long,end:long>>"), "chat")
+    return cut(arrow_map(ordered, run, "conv_id long, part long, text string, mask array<struct<start:long,end:long>>"), "chat")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -269,4 +270,4 @@ def digests(formatted: DataFrame) -> DataFrame:
         done()
         yield emit()
 
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return arrow_map(ordered, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from mnemospark.llm.arrow import arrow_map
 from mnemospark.llm.html_pages import labelled_page
 
 # Fixed values of the HTML standard.
@@ -300,4 +301,4 @@ def extract(pages: DataFrame, source: str = "html", out: str = "__text") -> Data
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema)
-    return pages.select(*kept).mapInArrow(run, f"{fields}, `{out}` string")
+    return arrow_map(pages.select(*kept), run, f"{fields}, `{out}` string")

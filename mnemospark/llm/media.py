@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.llm.arrow import arrow_map
 from mnemospark.operators.components import connected_components
 from mnemospark.plans.lineage import cut
 
@@ -198,7 +199,7 @@ def corners(images: DataFrame, key: str, image: str) -> DataFrame:
                         cols = [of, x.astype(np.float64), y.astype(np.float64), level.astype(np.int64), turn.astype(np.int64), d0.view(np.int64), d1.view(np.int64)]
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
-    return images.select(key, image).mapInArrow(run, "key long, x double, y double, level long, turn long, d0 long, d1 long")
+    return arrow_map(images.select(key, image), run, "key long, x double, y double, level long, turn long, d0 long, d1 long")
 
 
 def _blocks() -> list[tuple[int, int]]:
@@ -270,7 +271,7 @@ def matches(found: DataFrame) -> DataFrame:
                 corner = a[:, 3] << 40 | a[:, 1] << 20 | a[:, 2]
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in (a[:, 0], z[:, 0], corner, scale, turn, x, y)], names)
 
-    return ordered.mapInArrow(run, "a long, b long, corner long, scale long, turn long, x double, y double")
+    return arrow_map(ordered, run, "a long, b long, corner long, scale long, turn long, x double, y double")
 
 
 def confirmed(found: DataFrame, consensus: int = CONSENSUS) -> DataFrame:
@@ -329,4 +330,4 @@ def rendered(vectors: DataFrame, vector_id: str, vector: str, cell: int = 8) ->
                 out.append(write_pgm(_box(np.kron(128 + 400 * np.asarray(v).reshape(side, side), np.ones((cell, cell))), cell // 2 - 1)) if ok else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["image_id", "image"])
 
-    return vectors.select(F.col(vector_id).cast("long"), vector).mapInArrow(run, "image_id long, image binary")
+    return arrow_map(vectors.select(F.col(vector_id).cast("long"), vector), run, "image_id long, image binary")

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.llm.arrow import arrow_map
 from mnemospark.plans.lineage import cut
 
 # The kinds in their order and their patterns.
@@ -131,7 +132,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(rows, kind), pa.array(near, term)], [*kept, "__spans", "__near"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, __spans {SPAN}, __near {TERM}")
+    return arrow_map(docs, run, f"{fields}, __spans {SPAN}, __near {TERM}")
 
 
 def word_df(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
@@ -165,7 +166,7 @@ def word_df(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame
                         yield rows()
         yield rows()
 
-    return docs.select(text).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    return arrow_map(docs.select(text), run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def disclosures(found: DataFrame, docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
@@ -218,4 +219,4 @@ def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, genera
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     rest = scanned.where(F.size("__spans") == 0).select(*kept, "__spans", F.col(text).alias("__clean"))
-    return joined.mapInArrow(run, f"{fields}, __spans {SPAN}, __clean string").unionByName(rest)
+    return arrow_map(joined, run, f"{fields}, __spans {SPAN}, __clean string").unionByName(rest)

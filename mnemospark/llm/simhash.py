@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.llm.arrow import arrow_map
 from mnemospark.operators.components import connected_components
 from mnemospark.plans.lineage import cut
 
@@ -83,7 +84,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 3, out: s
             fp = fingerprints_of(b.column(text).to_pylist(), width).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(fp)], [*kept, out])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return arrow_map(docs.select(*kept), run, schema)
 
 
 _POWERS = 3 ** np.arange(SEGMENTS, dtype=np.int64)
@@ -180,9 +181,9 @@ def near_links(fps: DataFrame, fp: str = "simhash", radius: int = RADIUS) -> Dat
             x, y = _links(*(np.concatenate(z) for z in zip(*held, strict=True)), radius)
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
-    entries = fps.select(F.col(fp).alias("fp")).mapInArrow(expand, "cell long, fp long, own boolean")
+    entries = arrow_map(fps.select(F.col(fp).alias("fp")), expand, "cell long, fp long, own boolean")
     spread = entries.repartition("cell").sortWithinPartitions("cell")
-    return spread.mapInArrow(link, "a long, b long")
+    return arrow_map(spread, link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = RADIUS) -> DataFrame:

@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.llm.arrow import arrow_map
 from mnemospark.plans.lineage import cut
 
 #: Labelled rows drawn of label 0 and of label 1.
@@ -115,7 +116,7 @@ def select(examples: DataFrame, sizes: tuple[int, int]) -> list[str]:
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     top = a * (n0 - b) - b * (n1 - a)
     chi = (n0 + n1) * top * top / F.greatest(F.lit(1.0), (a + b) * (n0 + n1 - a - b) * n0 * n1)
-    summed = examples.select("text", "toxic").mapInArrow(run, "f string, b long, a long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    summed = arrow_map(examples.select("text", "toxic"), run, "f string, b long, a long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     found = summed.where((a / n1 > LEAST_RATIO * b / n0) & (a + b >= LEAST_TEXTS)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI)
     return [r.f for r in found.orderBy(F.desc("chi"), "f").limit(FEATURES).collect()]
 
@@ -226,7 +227,7 @@ def feature_df(docs: DataFrame, names: list[str], text: str = "text") -> tuple[i
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["at", "n"])
 
-    rows = docs.select(text).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # FEATURES + 1 rows at most
+    rows = arrow_map(docs.select(text), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # FEATURES + 1 rows at most
     out = np.zeros(len(names) + 1, np.int64)
     for r in rows:
         out[r["at"]] = r["n"]
@@ -256,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["id", "toxic", "at", "n"])
 
-    rows = examples.select("id", "toxic", "text").mapInArrow(run, "id long, toxic int, at array<long>, n array<long>").collect()
+    rows = arrow_map(examples.select("id", "toxic", "text"), run, "id long, toxic int, at array<long>, n array<long>").collect()
     vectors = sorted((r.id, r.toxic, dict(zip(r.at, r.n, strict=True))) for r in rows)
     return Model(names, np.log(1 + n / np.maximum(df, 1)), vectors, sizes, shares)
 
@@ -275,7 +276,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, __score double, __evidence string")
+    return arrow_map(docs, run, f"{fields}, __score double, __evidence string")
 
 
 def learnable(labels: DataFrame) -> DataFrame:

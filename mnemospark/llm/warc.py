@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.llm.arrow import arrow_map
 from mnemospark.llm.files import read_file, spread_files, write_file
 from mnemospark.plans.lineage import cut, shared_path
 
@@ -144,7 +145,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
             yield close()
 
     rows = resolve(pages, page_id, url, html, least).select("page_id", "url", "payload", "digest", "original", "original_url")
-    return cut(rows.mapInArrow(run, "path string, n_records long, n_bytes long"), "archives")
+    return cut(arrow_map(rows, run, "path string, n_records long, n_bytes long"), "archives")
 
 
 def read_archives(files: DataFrame) -> DataFrame:
@@ -165,4 +166,4 @@ def read_archives(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     spread = spread_files(files.select("path"))
-    return spread.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return arrow_map(spread, run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mnemospark.llm.arrow import arrow_map
 from mnemospark.llm import bpe
 from mnemospark.llm.files import read_file, spread_files, write_file
 from mnemospark.plans.lineage import cut, shared_path
@@ -217,7 +218,7 @@ def write_shards(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
     edges = rows.select(F.col("doc_id").cast("double").alias("d")).stat.approxQuantile("d", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
     place = F.coalesce(F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e <= F.col("doc_id").cast("double"))), F.lit(0)) if edges else F.lit(0)
     ordered = rows.repartitionById(n, place.cast("int")).sortWithinPartitions("doc_id", "text")
-    files = cut(ordered.mapInArrow(run, "shard long, part long, path string, n_docs long, n_tokens long"), "shards")
+    files = cut(arrow_map(ordered, run, "shard long, part long, path string, n_docs long, n_tokens long"), "shards")
     before, bases = 0, []
     for r in files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect():
         bases.append((r.shard, before))
@@ -242,4 +243,4 @@ def read_shards(files: DataFrame) -> DataFrame:
                 )
 
     spread = spread_files(files.select("path", "start"))
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(spread, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
