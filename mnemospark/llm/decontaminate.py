@@ -87,7 +87,7 @@ def find_leaks(
     """
     split = items.select(F.col(item_id).alias("item_id"), _words(item_text).alias("words")).where(F.size("words") > 0)
     bench = split.withColumn("n_words", F.size("words")).withColumn("width", F.least("n_words", F.lit(WIDTH)))
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("doc_key"), _words(text).alias("words"))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("doc_key"), F.col(text).alias("text"))
     found = None
     for width in sorted(r.width for r in bench.select("width").distinct().collect()):  # five widths at most
         part = _find(texts, bench.where(F.col("width") == width), width, similarity, radius)
@@ -102,7 +102,7 @@ def _find(texts: DataFrame, bench: DataFrame, width: int, similarity: float, rad
     sets = of.select(
         F.explode(F.array_distinct("item_hashes")).alias("h"), "item_id", "n_words", F.size("item_hashes").alias("a"), F.ceil(F.size("item_hashes") * F.lit(similarity) - 1e-9).cast("int").alias("need")
     )
-    shingles = texts.select("doc_id", "doc_key", F.posexplode(_hashes("words", width)).alias("p", "h"))
+    shingles = texts.select("doc_id", "doc_key", _words("text").alias("words")).select("doc_id", "doc_key", F.posexplode(_hashes("words", width)).alias("p", "h"))
     at = F.col("at")
     windows = (
         shingles.join(_near(sets, sets.count()), "h")
@@ -120,13 +120,12 @@ def _find(texts: DataFrame, bench: DataFrame, width: int, similarity: float, rad
         .distinct()
     )
     windows = cut(windows, "windows")
-    hashed = texts.select(F.col("doc_key").alias("doc_key"), F.col("doc_id").alias("id"), _hashes("words", width).alias("hashes")).join(
-        _near(windows, windows.count()), "doc_key"
-    ).where(F.col("id").eqNullSafe(F.col("doc_id")))
-    signed = (
-        hashed.select("doc_key", "doc_id", "n_words", "start_word", F.slice("hashes", F.col("start_word") + 1, F.col("a")).alias("window"))
-        .withColumn("print", _simhash(F.col("window")))
-    )
+    # only texts with a window are split again
+    n_windows = windows.count()
+    few = texts.join(_near(windows.select("doc_key").distinct(), n_windows), "doc_key", "left_semi").distinct()
+    hashed = few.select("doc_key", F.col("doc_id").alias("id"), _words("text").alias("words")).select("doc_key", "id", _hashes("words", width).alias("hashes"))
+    hashed = hashed.join(windows, "doc_key").where(F.col("id").eqNullSafe(F.col("doc_id")))
+    signed = hashed.select("doc_key", "doc_id", "n_words", "start_word", F.slice("hashes", F.col("start_word") + 1, F.col("a")).alias("window")).withColumn("print", _simhash(F.col("window")))
     masks = F.array(*(F.lit(m).cast("long") for m in _masks(radius)))
     blocks = lambda c: F.posexplode(F.transform(masks, lambda m: F.col(c).bitwiseAND(m))).alias("block", "bits")
     prints = of.withColumn("item_print", _simhash(F.col("item_hashes")))
