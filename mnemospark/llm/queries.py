@@ -99,8 +99,8 @@ hit AS (SELECT d.id AS doc_id, d.n AS doc_n, p, d.g, item_id, k.n AS n, c FROM d
 s AS (SELECT DISTINCT doc_id, doc_n, item_id, n, p AS start_word FROM hit),
 o AS (SELECT s.doc_id, s.doc_n, s.item_id, s.n, start_word, hit.g, least(count(*), any_value(c)) AS m
       FROM s JOIN hit ON s.doc_id = hit.doc_id AND s.item_id = hit.item_id AND p >= start_word AND p < start_word + s.n - 4 GROUP BY ALL),
-r AS (SELECT doc_id, item_id, n, start_word, sum(m) AS both, least(n - 4, doc_n - 4 - start_word) AS a FROM o GROUP BY ALL),
-q AS (SELECT *, both / (n - 4 + a - both) AS similarity FROM r)
+r AS (SELECT doc_id, item_id, n, start_word, sum(m) AS shared, least(n - 4, doc_n - 4 - start_word) AS a FROM o GROUP BY ALL),
+q AS (SELECT *, shared / (n - 4 + a - shared) AS similarity FROM r)
 SELECT doc_id, item_id, CAST(arg_min(start_word, (-similarity, start_word)) AS BIGINT) AS start_word, CAST(n AS BIGINT) AS n_words, round(max(similarity), 6) AS similarity
 FROM q WHERE similarity >= 0.8 - 1e-12 GROUP BY doc_id, item_id, n
 """
