@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,13 +10,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 #: Rows that a worker gets at a time; whole texts can be long.
-ROWS = 2000
+ROWS = 1000
 _SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def release() -> None:
+    """Give freed memory back to the system; a worker waits for its next task with what it holds."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     """``df.mapInArrow(run, schema)``; lowers the session's batch size to ROWS if it is above."""
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(_SETTING)) <= ROWS:
         conf.set(_SETTING, str(ROWS))
-    return df.mapInArrow(run, schema)
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(released, schema)

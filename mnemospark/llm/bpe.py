@@ -47,7 +47,7 @@ LEXICON = 1 << 15
 #: Counters that a task keeps.
 COUNTERS = 1 << 16
 #: Pieces, and words, whose ids a worker remembers.
-REMEMBERED, KNOWN = 400_000, 400_000
+REMEMBERED, KNOWN = 300_000, 300_000
 #: Words longer than this are merged with a heap.
 LONG = 48
 #: White space by Unicode; str.split() has four separators more.
@@ -63,7 +63,7 @@ MAGIC = b"LEX1"
 NONE = np.uint32(0xFFFFFFFF)
 HASH = np.uint32(2654435769)
 #: Characters whose new pieces are learned together, and whose pieces are looked up together.
-TOGETHER, PART = 6_000_000, 400_000
+TOGETHER, PART = 3_500_000, 400_000
 
 
 def _byte_symbols() -> list[str]:
@@ -528,14 +528,21 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", full: bool = T
         e = encoder(path, lexicon)
         tokens = e.vocabulary.tokens
         for b in batches:
-            rows = []
-            for raw in e.encode_all(b.column(text).to_pylist()):
+            raws = e.encode_all(b.column(text).to_pylist())
+            digests: list[tuple[str, str]] = []
+            texts: list[str] = []
+            for raw in raws:
                 ids = np.frombuffer(raw, "<u2").tolist()
                 decoded = decode(ids, tokens)
-                row = [len(ids), hashlib.sha256(" ".join(map(_DECIMAL.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
-                rows.append([*row, ids, decoded] if full else row)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-            new = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)] if rows else [pa.array([], k) for k in kinds[: len(added)]]
+                digests.append((hashlib.sha256(" ".join(map(_DECIMAL.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                if full:
+                    texts.append(decoded)
+            sizes = np.fromiter((len(r) // 2 for r in raws), np.int64, len(raws))
+            new = [pa.array(sizes), pa.array([x for x, _ in digests], pa.string()), pa.array([y for _, y in digests], pa.string())]
+            if full:
+                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                values = np.frombuffer(b"".join(raws), "<u2").astype(np.int32)
+                new += [pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *new], [*kept, *added])
 
     return arrow_map(docs.select(*kept), run, schema)
