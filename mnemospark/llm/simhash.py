@@ -17,6 +17,8 @@ extra columns are not read.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,10 @@ from mnemospark.operators.components import connected_components
 from mnemospark.plans.lineage import cut
 
 SEED = 42
+#: Words of a shingle, and similarity, of the filter that keeps one of each group.
+WIDTH, SIMILARITY = 5, 0.8
+#: One word pair in so many ends a passage; candidates share this part of either's passages.
+PASSAGE, SHARED = 16, 0.2
 RADIUS = 3
 SEGMENTS = 16
 #: Shingles whose bits are summed at a time.
@@ -202,13 +208,72 @@ def _grouped(marked: DataFrame, radius: int) -> DataFrame:
     return marked.join(of, "simhash")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = RADIUS) -> DataFrame:
+def similarity(a: str | None, b: str | None, width: int = WIDTH) -> float:
+    """Sum of the smaller by sum of the larger counts of the word shingles of two texts."""
+    x, y = Counter(shingle_digests(a, width)), Counter(shingle_digests(b, width))
+    total = x.total() + y.total()
+    both = sum(min(n, y[d]) for d, n in x.items() if d in y)
+    return both / (total - both) if total else 1.0
+
+
+def passages(text: str | None) -> set[int]:
+    """Signed hashes of the passages of a text, cut after word pairs that a hash picks, so equal passages are cut alike."""
+    words = (text or "").encode().lower().split()
+    out, start = set(), 0
+    for i in range(1, len(words)):
+        if not zlib.crc32(words[i], zlib.crc32(words[i - 1])) % PASSAGE and i - start >= WIDTH:
+            out.add(xxhash.xxh64_intdigest(b" ".join(words[start : i + 1]), SEED))
+            start = i + 1
+    if len(words) > start:
+        out.add(xxhash.xxh64_intdigest(b" ".join(words[start:]), SEED))
+    return {h - (1 << 64) if h >> 63 else h for h in out}
+
+
+def similar_links(rows: DataFrame, least: float = SIMILARITY, key: str = "__row", text: str = "text") -> DataFrame:
+    """(a, b) of pairs of rows of at least ``least`` similarity, enough to connect groups of edited copies.
+
+    Edited copies share most passages. Each passage names its least and its greatest row,
+    found by sums before the shuffle; every row that holds it is a candidate partner of
+    these two, so the candidates grow with the passages and not with the pairs of a
+    group. Pairs that share too few of their passages are left, the others' texts compared.
+    """
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [passages(t) for t in b.column(1).to_pylist()]
+            keys = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(h) for h in held])
+            total = np.repeat([len(h) for h in held], [len(h) for h in held]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(total), pa.array([h for hs in held for h in hs], pa.int64())], ["row", "n", "passage"])
+
+    parts = cut(arrow_map(rows.select(key, text), cut_up, "row long, n long, passage long"), "passages")
+    ends = parts.groupBy("passage").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi")
+    met = parts.join(ends, "passage").select("row", "n", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("other")).where("row <> other")
+    pairs = met.groupBy(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b"), "row").agg(F.count("*").alias("shared"), F.min("n").alias("n"))
+    pairs = pairs.where(F.col("shared") >= F.col("n") * SHARED).select("a", "b").distinct()
+    texts = rows.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    full = pairs.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [similarity(x, y) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return arrow_map(full.select("a", "b", "ta", "tb"), compare, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each group of near copies: the smallest id's (nulls last).
 
-    Words make shingles of ``width``. Columns and texts stay as they are.
+    Fingerprints over shingles of WIDTH words link texts within ``radius`` bits, which edits
+    soon exceed; one row of each group found so is then linked to others of at least
+    ``least`` similarity through shared passages. Columns and texts stay as they are.
     """
-    marked = cut(with_fingerprint(docs, text, width, "__fp").withColumn("__row", F.monotonically_increasing_id()), "near")
+    marked = cut(with_fingerprint(docs, text, WIDTH, "__fp").withColumn("__row", F.monotonically_increasing_id()), "near")
     rows = marked.select(F.col("__row").alias("doc_id"), F.col("__fp").alias("simhash"), F.col(doc_id).alias("id"))
     grouped = _grouped(rows, radius).withColumnRenamed("component_id", "group")
-    keep = grouped.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("best")).select(F.col("best.doc_id").alias("__row"))
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "doc_id"))
+    kept = cut(grouped.groupBy("group").agg(best.alias("best")).select("best.no_id", "best.id", F.col("best.doc_id").alias("__row")), "kept")
+    roots = connected_components(similar_links(marked.join(kept.select("__row"), "__row", "left_semi").select("__row", text), least, text=text))
+    placed = kept.join(roots.withColumnRenamed("node", "__row"), "__row", "left").withColumn("root", F.coalesce("root", "__row"))
+    keep = placed.groupBy("root").agg(F.min(F.struct("no_id", "id", "__row")).alias("best")).select("best.__row")
     return marked.join(keep, "__row", "left_semi").select(*docs.columns)

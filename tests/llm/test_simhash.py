@@ -79,3 +79,38 @@ def test_empty_table_and_stage(spark):
     assert simhash.one_of_each(empty).columns == ["doc_id", "text", "lang"]
     docs = spark.createDataFrame([(3, "a b c d e f", "x"), (2, "a b c d e f", "y"), (None, "a b c d e f", "z"), (7, "other words here entirely different ones", "w")], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [2, 7]
+
+
+def test_edited_copies_leave_one(spark):
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(3000)]
+    rows, groups = [], []
+    for g in range(25):
+        base = [rng.choice(vocab) for _ in range(rng.randint(120, 500))]
+        groups.append([])
+        for k in range(rng.choice([2, 3, 6])):
+            words = list(base)
+            for _ in range(0 if k == 0 else max(1, len(words) // 120)):
+                words[rng.randrange(len(words))] = rng.choice(vocab)
+            groups[-1].append(len(rows))
+            rows.append((len(rows), " ".join(words), "x"))
+    shared = " ".join(rng.choice(vocab) for _ in range(60))
+    clean = []
+    for _ in range(60):
+        clean.append(len(rows))
+        rows.append((len(rows), " ".join(rng.choice(vocab) for _ in range(200)) + " " + shared, "y"))
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()}
+    assert set(clean) <= kept
+    wrong = 0
+    for g in groups:
+        # those at least 0.8 similar to the group's first text must go with it
+        near = [i for i in g if simhash.similarity(rows[g[0]][1], rows[i][1]) >= 0.8]
+        assert g[0] in kept
+        wrong += len(kept & set(near[1:]))
+    assert wrong == 0
+
+
+def test_similarity_counts_repeats():
+    assert simhash.similarity("a b c d e f", "a b c d e f") == 1.0
+    assert simhash.similarity("a b c d e f", "x b c d e f") == 1 / 3
+    assert simhash.similarity(None, "") == 1.0
