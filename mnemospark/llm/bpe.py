@@ -55,15 +55,18 @@ SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: What keeps a text from being lowered and cut before its marks as a whole: letters that may change form,
 #: separators and a special token's start, and a mark that follows another one and so belongs to its word.
-ODD = re.compile("[\u0250-\U0010ffff\x1c-\x1f<_]")
+ODD = re.compile("[\u0250-\U0010ffff\x1c-\x1f\x85\xa0<_]")
 JOINED = re.compile(r"[!-/:-@\[-`{-\xbf\xd7\xf7][.,]")
 #: Marks of one word when they stand together.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MAGIC = b"LEX1"
 NONE = np.uint32(0xFFFFFFFF)
 HASH = np.uint32(2654435769)
-#: Characters whose new pieces are learned together, and whose pieces are looked up together.
-TOGETHER, PART = 3_500_000, 400_000
+#: Characters of texts that are encoded together.
+TOGETHER = 3_500_000
+#: Which bytes are white space, and masks that keep the first bytes of a 64-bit word.
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+KEEP = np.asarray([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _byte_symbols() -> list[str]:
@@ -335,6 +338,7 @@ class Encoder(dict):
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None) -> None:
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.known: dict[str, bytes] = {}
+        self.seen: dict[bytes, bytes] = {}
 
     def normal(self, piece: str) -> str:
         if piece.isascii():
@@ -385,66 +389,109 @@ class Encoder(dict):
             self[piece] = found
         return found
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Take in new pieces; those that are one word, or one and a mark, all at once."""
-        plain = [p for p in pieces if p.isascii() or max(p) <= "ɏ"]
-        lows = "\n".join(plain).lower().split("\n") if plain else []
-        known, ready, new = self.known, [], {}
-        for piece, low in zip(plain, lows, strict=True):
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece; those that are one word, or one and marks, are merged all at once."""
+        lows = "\n".join(pieces).lower().split("\n") if pieces else []
+        known, new = self.known, {}
+        found: list[tuple[str, str] | None] = []
+        for piece, low in zip(pieces, lows, strict=True):
             if low.isalpha():
                 word, mark = low, ""
             else:
                 word = low.rstrip(MARKS)
                 mark = low[len(word) :]
-                if not word.isalpha() or len(mark) > LONG:
-                    continue
-            ready.append((piece, word, mark))
+            if not word.isalpha() or len(mark) > LONG or not (piece.isascii() or max(piece) <= "ɏ"):
+                found.append(None)
+                continue
+            found.append((word, mark))
             if word not in known:
                 new[word] = None
         if len(known) + len(new) > KNOWN:
             known.clear()
-            new = {w: None for _, w, _ in ready}
+            new = {x[0]: None for x in found if x}
         words = list(new)
         if self.lexicon:
-            found = {w: x for w in words if (x := self.lexicon.find(w)) is not None}
-            known.update(found)
-            words = [w for w in words if w not in found]
+            held = {w: x for w in words if (x := self.lexicon.find(w)) is not None}
+            known.update(held)
+            words = [w for w in words if w not in held]
         known.update(zip(words, self.vocabulary.merge_all(words), strict=True))
-        marks = {m: self.word(m) if m else b"" for m in {m for _, _, m in ready}}
-        self.update((p, known[w] + marks[m]) for p, w, m in ready)
+        marks = {m: self.word(m) if m else b"" for m in {x[1] for x in found if x}}
+        return [self[p] if x is None else known[x[0]] + marks[x[1]] for p, x in zip(pieces, found, strict=True)]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """All ids of texts that can be lowered and cut as a whole.
+
+        Pieces of up to 32 bytes are compared as four 64-bit words, so equal ones are found
+        by sorting numbers; each different piece is looked up once.
+        """
+        parts = [t.lower().replace(",", " ,").replace(".", " .").encode() for t in texts]
+        blob = b" " + b" ".join(parts) + b" " * 48
+        begins = np.cumsum([1, *(len(p) + 1 for p in parts)])
+        data = np.frombuffer(blob, np.uint8)
+        space = BLANK[data]
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        starts, ends = edges[::2], edges[1::2]
+        if not len(starts):
+            return [b""] * len(texts)
+        size = ends - starts
+        wide = np.ndarray((len(blob) - 7,), "<u8", blob, strides=(1,))
+        words = [np.where(size > 8 * k, wide[starts + 8 * k] & KEEP[np.clip(size - 8 * k, 0, 8)], np.uint64(0)) for k in range(4)]
+        mixed = words[0] * np.uint64(0x9E3779B97F4A7C15)
+        for k, w in enumerate(words[1:]):
+            mixed = (mixed ^ (mixed >> np.uint64(29)) ^ w) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
+        mixed ^= mixed >> np.uint64(32)
+        order = np.argsort(mixed)
+        fresh = np.concatenate(([True], mixed[order[1:]] != mixed[order[:-1]]))
+        kind = np.empty(len(order), np.int64)
+        kind[order] = np.cumsum(fresh) - 1
+        first = order[fresh]
+        # a piece that isn't its kind's first one, or is longer than what was compared, is a kind of its own
+        alone = np.flatnonzero((size > 32) | np.any([w != w[first][kind] for w in words], axis=0))
+        kind[alone] = len(first) + np.arange(len(alone))
+        first = np.concatenate((first, alone))
+        pieces = [blob[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        ids = list(map(self.seen.get, pieces))
+        lacking = [i for i, x in enumerate(ids) if x is None]
+        if lacking:
+            got = self._ids_of(b"\n".join(pieces[i] for i in lacking).decode().split("\n"))
+            if len(self.seen) + len(got) > REMEMBERED:
+                self.seen.clear()
+            for i, x in zip(lacking, got, strict=True):
+                ids[i] = x
+            self.seen.update((pieces[i], x) for i, x in zip(lacking, got, strict=True) if len(pieces[i]) <= LONG)
+        flat = np.frombuffer(b"".join(ids), "<u2")
+        each = np.fromiter(map(len, ids), np.int64, len(ids)) >> 1
+        at = np.concatenate(([0], np.cumsum(each)[:-1]))
+        counts = each[kind]
+        upto = np.concatenate(([0], np.cumsum(counts)))
+        out = flat[np.repeat(at[kind] - upto[:-1], counts) + np.arange(upto[-1])].tobytes()
+        cut = (2 * upto[np.searchsorted(starts, begins)]).tolist()
+        return [out[a:z] for a, z in zip(cut, cut[1:], strict=False)]
 
     def pieces(self, text: str) -> list[str]:
-        """A text cut at white space, and before full stops and commas where that changes no word."""
-        if not ODD.search(text) and not JOINED.search(text):
-            return text.lower().replace(",", " ,").replace(".", " .").split()
+        """A text cut at white space."""
         return text.split() if not SEPARATORS.search(text) else [p for p in SPACE.split(text) if p]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """All ids of each text as little-endian 16-bit numbers."""
-        out: list[bytes] = []
-        waiting: list[tuple[list[list[str]], dict[str, bytes], list[str]]] = []
-        held: list[list[str]] = []
-        part = size = 0
-        # a part's own table stays in the processor's cache, so the large one is asked once for each piece in it
-        for i, text in enumerate(texts, 1):
-            held.append(self.pieces(text) if text else [])
-            part += len(text or "")
-            if part >= PART or i == len(texts):
-                pieces = set().union(*held)
-                ids = dict(zip(pieces, map(self.get, pieces), strict=True))
-                waiting.append((held, ids, [p for p, x in ids.items() if x is None]))
-                size += part
-                held, part = [], 0
-            if size >= TOGETHER or i == len(texts):
-                new = set().union(*(lacking for _, _, lacking in waiting))
-                if len(self) + len(new) > REMEMBERED:
-                    self.clear()
-                self._learn(new)
-                for rows, ids, lacking in waiting:
-                    ids.update((p, self[p]) for p in lacking)
-                    out += [b"".join(map(ids.__getitem__, row)) for row in rows]
-                waiting.clear()
+        out: list[bytes] = [b""] * len(texts)
+        plain: list[int] = []
+        size = 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if ODD.search(text) or JOINED.search(text):
+                out[i] = b"".join(map(self.__getitem__, self.pieces(text)))
+            else:
+                plain.append(i)
+                size += len(text)
+            if size >= TOGETHER:
+                for k, x in zip(plain, self._plain([texts[k] for k in plain]), strict=True):
+                    out[k] = x
+                plain.clear()
                 size = 0
+        for k, x in zip(plain, self._plain([texts[k] for k in plain]) if plain else [], strict=True):
+            out[k] = x
         return out
 
     def encode(self, text: str | None) -> bytes:
@@ -488,7 +535,7 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         e, pieces = encoder(path), Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                pieces.update(e.pieces(t or ""))
+                pieces.update((t or "").lower().split())
                 if len(pieces) > 4 * COUNTERS:
                     pieces = _reduce(pieces, COUNTERS)
         counts: Counter = Counter()

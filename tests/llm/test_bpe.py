@@ -29,6 +29,14 @@ def test_same_ids_as_the_library(text):
     assert mine(bpe.Encoder(VOCABULARY), text) == wanted(text)[0]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aBzéßÿ'sdmltİŉ 1²ª,.!?;-()@\n\t\xb5") | st.lists(st.sampled_from(["word", "Word,", "x" * 31, "y" * 33, "zé" * 20, "q" * 60, "it's", "3.14", "a@b.c", "end."])).map(" ".join)))
+def test_whole_texts_at_once(texts):
+    e = bpe.Encoder(VOCABULARY)
+    for _ in range(2):  # new pieces, then remembered ones
+        assert [list(memoryview(x).cast("H")) for x in e.encode_all(texts)] == [wanted(t)[0] for t in texts]
+
+
 def test_many_words_at_once():
     import random
 
