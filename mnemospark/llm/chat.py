@@ -143,14 +143,12 @@ def turns_of_records(records: DataFrame, record_id: str, record: str) -> DataFra
 
 
 def turns_of_table(df: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) of a table whose schema's fingerprint names its mapping."""
+    """(conv_id, turn, role, text) of a table whose schema's fingerprint names its mapping; roles stay as they are."""
     name = BY_FINGERPRINT.get(fingerprint(schema_paths(df.schema)))
     if name is None or "rows" not in MAPPINGS[name]:
         raise ValueError(f"no mapping for a table with {sorted(schema_paths(df.schema))}")
     of = MAPPINGS[name]["rows"]
-    known: Column = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
-    role = F.coalesce(F.col(of["role"]), F.lit(""))
-    return df.select(F.col(of["conversation"]).alias("conv_id"), F.col(of["turn"]).alias("turn"), F.coalesce(known[role], role).alias("role"), F.coalesce(F.col(of["text"]), F.lit("")).alias("text"))
+    return df.select(F.col(of["conversation"]).alias("conv_id"), F.col(of["turn"]).alias("turn"), F.coalesce(F.col(of["role"]), F.lit("")).alias("role"), F.coalesce(F.col(of["text"]), F.lit("")).alias("text"))
 
 
 def _escape(c: Column) -> Column:

@@ -16,15 +16,14 @@ TEXTS = ["plain", "", None, "\\### Assistant: </turn> ok", "<|end|>\n<|assistant
 
 def rows():
     out = [(1, k, ["user", "assistant"][k % 2], t) for k, t in enumerate(TEXTS)]
-    out += [(2, 5, "assistant", "second"), (2, 1, "system", "first"), (2, 5, "assistant", "second"), (2, None, "user", "zeroth"), (None, 0, None, "no id"), (3, 0, "odd|role\n\\", "x"), (4, 0, "gpt", "mapped")]
+    out += [(2, 5, "assistant", "second"), (2, 1, "system", "first"), (2, 5, "assistant", "second"), (2, None, "user", "zeroth"), (None, 0, None, "no id"), (3, 0, "odd|role\n\\", "x"), (4, 0, "gpt", "kept")]
     return out + [(9, k, "assistant" if k % 3 else "user", "long conversation " * 40) for k in range(1500)]
 
 
 def brute(data):
     out = {}
     for i, n, r, t in data:
-        r = {"gpt": "assistant"}.get(r, r or "")
-        out.setdefault(i, []).append((n is not None, n or 0, r, t or ""))
+        out.setdefault(i, []).append((n is not None, n or 0, r or "", t or ""))
     want = []
     for i, ts in out.items():
         ts.sort()
