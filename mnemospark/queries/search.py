@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from mnemospark.functions.vector import cosine, dot, doubles, norm, normalised
+from mnemospark.functions.vector import cosine, dot, doubles, euclidean, norm, normalised
 from mnemospark.operators import topk
 from mnemospark.operators.windows import top_per_key
 from mnemospark.registry import query, table
@@ -49,8 +52,6 @@ def vector_pairs_per_label(spark, d):
 
 @query("find_similar_ranked", f"WITH {_V}, s AS (SELECT vec_id, round(list_dot_product(e, {_P}), 5) AS score FROM v WHERE vec_id % 3 = 0 ORDER BY score DESC, vec_id LIMIT 15) SELECT vec_id, score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s")
 def find_similar_ranked(spark, d):
-    from pyspark.sql.window import Window
-
     v = table(spark, d, "embeddings").where("vec_id % 3 = 0")
     s = v.select("vec_id", F.round(dot(doubles("embedding"), topk.literal(PROBE)), 5).alias("score")).orderBy(F.desc("score"), "vec_id").limit(15)
     return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))
@@ -96,8 +97,6 @@ best AS (SELECT label FROM cc ORDER BY round(list_distance(c, {_P}), 9), label L
 SELECT vec_id, round(list_cosine_similarity(e, {_P}), 6) AS score FROM v WHERE label IN (SELECT label FROM best) ORDER BY score DESC, vec_id LIMIT 10""")
 def ivf_fixed_centroids(spark, d):
     """The three label means nearest to the probe give the candidates; no cap within them."""
-    from mnemospark.functions.vector import euclidean
-
     v = table(spark, d, "embeddings")
     mean = v.select("label", F.posexplode(doubles("embedding")).alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     centre = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
@@ -144,9 +143,6 @@ def embedding_clusters(spark, d):
 
 def kmeans(vectors, k: int = 5, seed: int = 42, vector: str = "embedding"):
     """``vectors`` with cluster, by Spark's k-means."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
     x = vectors.withColumn("__f", array_to_vector(doubles(vector)))
     return KMeans(k=k, seed=seed, featuresCol="__f", predictionCol="cluster").fit(x).transform(x).drop("__f")
 
