@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions.geo import degrees, in_polygon, valid_point
 from mnemospark.plans.lineage import shared_path
 from mnemospark.registry import query, table
-from mnemospark.sources import importers
+from mnemospark.sources import importers, stores
 
 ICS = """BEGIN:VCALENDAR
 BEGIN:VEVENT
@@ -135,3 +135,37 @@ def quarantine(spark, d):
     """Rows that can't be read are counted by error, not lost."""
     code = F.when(F.expr("try_cast(substring(p_name, 1, 2) as int)").isNull(), "not_a_number").otherwise("ok")
     return table(spark, d, "part").groupBy(code.alias("error_code")).agg(F.count("*").alias("n"))
+
+
+VCARD = "BEGIN:VCARD\nFN:Ann Lee\nEMAIL;TYPE=work:ann@x.org\nTEL:+1 555\nEND:VCARD\nBEGIN:VCARD\nFN:Bob\nEND:VCARD"
+
+
+@query("vcard_parse", "SELECT 'Ann Lee' AS name, 'ann@x.org' AS email, '+1 555' AS phone UNION ALL SELECT 'Bob', NULL, NULL")
+def vcard_parse(spark, d):
+    return stores.parse_vcards(one(spark, VCARD))
+
+
+@query("snapshot_restore", "SELECT r_regionkey, r_name FROM region")
+def snapshot_restore(spark, d):
+    path = shared_path(spark, "snapshot")
+    stores.snapshot({"region": table(spark, d, "region")}, path)
+    return stores.restore(spark, path, ["region"])["region"].select("r_regionkey", "r_name")
+
+
+@query("kv_store", "SELECT 'user:' || user_id AS key, max(event_id) AS seq, left(sha256('user:' || user_id), 16) AS slot FROM events WHERE user_id < 30 GROUP BY user_id")
+def kv_store(spark, d):
+    """Records put in two parts, then the newest of each key."""
+    e = table(spark, d, "events").where("user_id < 30").select(F.concat(F.lit("user:"), "user_id").alias("key"), F.to_json(F.struct("event_type")).alias("value"), F.col("event_id").alias("seq"))
+    path = shared_path(spark, "records")
+    stores.put_records(e.where("seq % 2 = 0"), path)
+    stores.put_records(e.where("seq % 2 = 1"), path)
+    return stores.get_records(spark, path).select("key", "seq", "slot")
+
+
+@query("hashed_embeddings", """
+WITH t AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS w, md5(text || ':hash64') AS cache_key FROM benchmark),
+n AS (SELECT item_id, cache_key, len(w) AS n FROM t)
+SELECT item_id, cache_key, n > 0 AS filled FROM n""")
+def hashed_embeddings(spark, d):
+    h = stores.hashed_embeddings(table(spark, d, "benchmark"), "item_id", "text")
+    return h.select("item_id", "cache_key", F.exists("embedding", lambda x: x > 0).alias("filled"))

@@ -14,7 +14,7 @@ from mnemospark.operators import forecast, graph, mentions, mining, recommend, t
 from mnemospark.operators.components import connected_components
 from mnemospark.operators.joins import band_join, following_first, grid_pairs, interval_pairs
 from mnemospark.plans.memory_query import MemoryQuery, page
-from mnemospark.sources import importers
+from mnemospark.sources import importers, stores
 from mnemospark.streaming.events import fold_memory
 
 
@@ -226,3 +226,18 @@ def test_working_memory_rules():
     assert {(n, r, c) for _, n, r, c in out} == {("a", "faded", True), ("b", "faded", False)}
     items, _ = fold_memory({"a": [0.95, 0.0, 0]}, [(0.0, 1, "a")], 7, 10.0, 0.1)
     assert items["a"][0] == pytest.approx(min(1.0, 0.95 + 0.1)) and math.isclose(items["a"][2], 1)
+
+
+def test_settings_merge():
+    base, more = {"db": {"host": "a", "port": 1}, "on": False}, {"db": {"host": "b"}}
+    got = stores.merged_settings(base, more, environment={"MEMO_DB__PORT": "7", "MEMO_ON": "true", "MEMO_NEW": "x", "OTHER": "y"})
+    assert got == {"db": {"host": "b", "port": 7}, "on": True, "new": "x"}
+
+
+def test_photo_events_and_embeddings(spark):
+    p = spark.createDataFrame([("/a/b.jpg", dt.datetime(2024, 1, 1), 1.5, -2.25), ("/c.png", None, None, None)], "path string, taken_time timestamp_ntz, lat double, lon double")
+    got = {r.title: r.location for r in stores.photos_as_events(p).collect()}
+    assert got == {"b.jpg": "(1.5000, -2.2500)", "c.png": None}
+    docs = spark.createDataFrame([(1, "red fox"), (2, "red fox"), (3, "")], "id int, text string")
+    v = {r.id: r.embedding for r in stores.hashed_embeddings(docs, "id", "text").collect()}
+    assert v[1] == v[2] and sum(x * x for x in v[1]) == pytest.approx(1.0) and set(v[3]) == {0.0}
