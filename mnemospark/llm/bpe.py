@@ -57,6 +57,7 @@ SEPARATORS = re.compile("[\x1c-\x1f]")
 #: separators and a special token's start, and a mark that follows another one and so belongs to its word.
 ODD = re.compile("[\u0250-\U0010ffff\x1c-\x1f\x85\xa0<_]")
 JOINED = re.compile(r"[!-/:-@\[-`{-\xbf\xd7\xf7][.,]")
+WIDE = re.compile("[\u0250-\U0010ffff]")
 #: Marks of one word when they stand together.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MAGIC = b"LEX1"
@@ -391,19 +392,25 @@ class Encoder(dict):
 
     def _ids_of(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece; those that are one word, or one and marks, are merged all at once."""
-        lows = "\n".join(pieces).lower().split("\n") if pieces else []
+        joined = "\n".join(pieces)
+        lows = joined.lower().split("\n") if pieces else []
+        wide = WIDE.search(joined) is not None
         known, new = self.known, {}
         found: list[tuple[str, str] | None] = []
-        for piece, low in zip(pieces, lows, strict=True):
+        put = found.append
+        for low in lows:
             if low.isalpha():
                 word, mark = low, ""
             else:
                 word = low.rstrip(MARKS)
                 mark = low[len(word) :]
-            if not word.isalpha() or len(mark) > LONG or not (piece.isascii() or max(piece) <= "ɏ"):
-                found.append(None)
+                if not word.isalpha() or len(mark) > LONG:
+                    put(None)
+                    continue
+            if wide and max(word) > "ɏ":
+                put(None)
                 continue
-            found.append((word, mark))
+            put((word, mark))
             if word not in known:
                 new[word] = None
         if len(known) + len(new) > KNOWN:
