@@ -41,6 +41,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 from tokenizers import Tokenizer
 
 from mnemospark.llm.arrow import arrow_map
+from mnemospark.plans.lineage import cut
 
 #: Words compiled into the lexicon.
 LEXICON = 1 << 15
@@ -558,7 +559,15 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 def deliver_lexicon(docs: DataFrame, path: str, text: str = "text", size: int = LEXICON) -> str:
     """Compile the lexicon of the ``size`` most counted words and send it to every executor; its file name."""
-    top = word_counts(docs, path, text).orderBy(F.desc("n"), "word").limit(size).collect()
+    counts = cut(word_counts(docs, path, text), "words")
+    # counts by powers of two, 64 rows at most, tell from which count on there are enough words; few others are sorted
+    left, least = size, 0
+    for r in counts.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count("*").alias("words")).orderBy(F.desc("power")).collect():
+        left -= r.words
+        if left <= 0:
+            least = 1 << r.power
+            break
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(size).collect()
     v = Vocabulary(path)
     data = compile_lexicon({r.word: v.merge(r.word) for r in top if r.word})
     name = f"lexicon-{uuid.uuid4().hex}.bin"

@@ -81,3 +81,14 @@ def test_summary_keeps_heavy_words():
     c = Counter({f"r{i}": 1 for i in range(1000)} | {"the": 500, "of": 300})
     kept = bpe._reduce(c, 10)
     assert len(kept) <= 10 and kept["the"] == 499 and kept["of"] == 299
+
+
+def test_lexicon_holds_the_most_counted_words(spark, monkeypatch):
+    texts = ["the the the the of of of a a b c d", "the of a b"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    seen = {}
+    monkeypatch.setattr(bpe, "compile_lexicon", lambda words: seen.update(words) or b"LEX1")
+    for size, want in ((1, {"the"}), (2, {"the", "of"}), (3, {"the", "of", "a"}), (100, {"the", "of", "a", "b", "c", "d"})):
+        seen.clear()
+        bpe.deliver_lexicon(df, PATH, size=size)
+        assert set(seen) == want
