@@ -57,7 +57,7 @@ SEPARATORS = re.compile("[\x1c-\x1f]")
 #: What keeps a text from being lowered and cut before its marks as a whole: letters that may change form,
 #: separators and a special token's start, and a mark that follows another one and so belongs to its word.
 ODD = re.compile("[\u0130\u0250-\U0010ffff\x1c-\x1f\x85\xa0<_]")
-JOINED = re.compile(r"[!-/:-@\[-`{-\xbf\xd7\xf7][.,]")
+JOINED = re.compile("[" + re.escape("".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] not in "LN" and not c.isspace())) + "][.,]")
 WIDE = re.compile("[\u0250-\U0010ffff]")
 #: Marks of one word when they stand together.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"

@@ -37,6 +37,15 @@ def test_whole_texts_at_once(texts):
         assert [list(memoryview(x).cast("H")) for x in e.encode_all(texts)] == [wanted(t)[0] for t in texts]
 
 
+def test_every_low_character_before_a_mark():
+    e = bpe.Encoder(VOCABULARY)
+    texts = [f"{a}{chr(c)}{m}{b}" for c in range(0x260) for a in ("", "x") for m in ".," for b in ("", "y", ".")]
+    got = e.encode_all(texts)
+    for t, x in zip(texts, got, strict=True):
+        assert list(memoryview(x).cast("H")) == wanted(t)[0], repr(t)
+        assert list(memoryview(e.encode(t)).cast("H")) == wanted(t)[0], repr(t)
+
+
 def test_many_words_at_once():
     import random
 
