@@ -47,8 +47,10 @@ from mnemospark.plans.lineage import cut
 LEXICON = 1 << 15
 #: Counters that a task keeps.
 COUNTERS = 1 << 16
-#: Pieces, and words, whose ids a worker remembers.
-REMEMBERED, KNOWN = 300_000, 300_000
+#: Pieces, and words, whose ids a worker remembers at most, and characters of texts that are encoded together.
+KNOWN, TOGETHER = 300_000, 3_500_000
+#: The same where texts are decoded as well; a worker may wait with what it holds while other stages run.
+KNOWN_LESS, TOGETHER_LESS = 150_000, 1_000_000
 #: Words longer than this are merged with a heap.
 LONG = 48
 #: White space by Unicode; str.split() has four separators more.
@@ -64,8 +66,6 @@ MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MAGIC = b"LEX1"
 NONE = np.uint32(0xFFFFFFFF)
 HASH = np.uint32(2654435769)
-#: Characters of texts that are encoded together.
-TOGETHER = 3_500_000
 #: Which bytes are white space, and masks that keep the first bytes of a 64-bit word.
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 KEEP = np.asarray([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -337,8 +337,8 @@ class Lexicon:
 class Encoder(dict):
     """Pieces between white space -> their ids in 16 bits each; remembers a bounded number."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None) -> None:
-        self.vocabulary, self.lexicon = vocabulary, lexicon
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, most: int = KNOWN, together: int = TOGETHER) -> None:
+        self.vocabulary, self.lexicon, self.most, self.together = vocabulary, lexicon, most, together
         self.known: dict[str, bytes] = {}
         self.seen: dict[bytes, bytes] = {}
 
@@ -363,7 +363,7 @@ class Encoder(dict):
             if found is None:
                 found = np.asarray(self.vocabulary.merge(word), "<u2").tobytes() if len(word) > LONG else b"".join(map(_PACKED.__getitem__, self.vocabulary.merge(word)))
             if len(word) <= LONG:
-                if len(self.known) >= KNOWN:
+                if len(self.known) >= self.most:
                     self.known.clear()
                 self.known[word] = found
         return found
@@ -386,7 +386,7 @@ class Encoder(dict):
         else:
             found = b"".join(map(self.word, self.words(piece)))
         if len(piece) <= LONG:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.clear()
             self[piece] = found
         return found
@@ -414,7 +414,7 @@ class Encoder(dict):
             put((word, mark))
             if word not in known:
                 new[word] = None
-        if len(known) + len(new) > KNOWN:
+        if len(known) + len(new) > self.most:
             known.clear()
             new = {x[0]: None for x in found if x}
         words = list(new)
@@ -462,7 +462,7 @@ class Encoder(dict):
         lacking = [i for i, x in enumerate(ids) if x is None]
         if lacking:
             got = self._ids_of(b"\n".join(pieces[i] for i in lacking).decode().split("\n"))
-            if len(self.seen) + len(got) > REMEMBERED:
+            if len(self.seen) + len(got) > self.most:
                 self.seen.clear()
             for i, x in zip(lacking, got, strict=True):
                 ids[i] = x
@@ -493,7 +493,7 @@ class Encoder(dict):
             else:
                 plain.append(i)
                 size += len(text)
-            if size >= TOGETHER:
+            if size >= self.together:
                 for k, x in zip(plain, self._plain([texts[k] for k in plain]), strict=True):
                     out[k] = x
                 plain.clear()
@@ -518,7 +518,7 @@ def encoder(path: str, lexicon: str | None = None) -> Encoder:
     if key not in _ENCODERS:
         vocabulary = next((e.vocabulary for (p, _), e in _ENCODERS.items() if p == path), None) or Vocabulary(path)
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(vocabulary, Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
+        _ENCODERS[key] = Encoder(vocabulary, Lexicon(SparkFiles.get(lexicon)), KNOWN_LESS, TOGETHER_LESS) if lexicon else Encoder(vocabulary)
     return _ENCODERS[key]
 
 
