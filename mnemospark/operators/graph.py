@@ -48,16 +48,19 @@ def closure(edges: DataFrame, most: int = 50) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
-    """(node, rank) after ``rounds`` rounds over undirected edges, scaled to sum 1 each round."""
+    """(node, rank) after ``rounds`` rounds over edges in both directions.
+
+    Every node of such a graph passes on all that it has, so ranks sum to 1 in every round
+    without being scaled, and a round is one join and one sum by node.
+    """
     links = cut(edges.join(edges.groupBy("src").agg(F.count("*").alias("n")), "src").select("src", "dst", "n"), "links")
-    nodes = cut(links.select(F.col("src").alias("node")).distinct(), "nodes")
-    size = nodes.agg(F.count("*").alias("size"))
-    ranks = nodes.crossJoin(F.broadcast(size)).select("node", (F.lit(1.0) / F.col("size")).alias("rank"))
+    ranks = links.select(F.col("src").alias("node")).distinct()
+    size = ranks.agg(F.count("*").alias("size"))
+    links = links.crossJoin(F.broadcast(size))
+    ranks = ranks.crossJoin(F.broadcast(size)).select("node", (F.lit(1.0) / F.col("size")).alias("rank"))
     for i in range(1, rounds + 1):
-        got = links.join(ranks, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
-        raw = nodes.join(got, "node", "left").crossJoin(F.broadcast(size))
-        raw = raw.select("node", (F.lit(1 - damping) / F.col("size") + F.coalesce("got", F.lit(0.0)) * damping).alias("raw"))
-        ranks = raw.crossJoin(F.broadcast(raw.agg(F.sum("raw").alias("total")))).select("node", (F.col("raw") / F.col("total")).alias("rank"))
+        met = links.join(ranks, F.col("src") == F.col("node"))
+        ranks = met.groupBy(F.col("dst").alias("node")).agg((F.lit(1 - damping) / F.first("size") + F.sum(F.col("rank") / F.col("n")) * damping).alias("rank"))
         if i % KEEP == 0:
             ranks = cut(ranks, "ranks")
     return ranks
