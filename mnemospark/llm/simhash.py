@@ -17,14 +17,14 @@ extra columns are not read.
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.llm.arrow import arrow_map
@@ -34,8 +34,10 @@ from mnemospark.plans.lineage import cut
 SEED = 42
 #: Words of a shingle, and similarity, of the filter that keeps one of each group.
 WIDTH, SIMILARITY = 5, 0.8
-#: One word pair in so many ends a passage; candidates share this part of either's passages.
-PASSAGE, SHARED = 16, 0.2
+#: Similar texts share one in so many of their tokens among those of the least hashes.
+PART = 5
+#: Pairs are all compared once there are so many for each token, or after so many rounds.
+FEW, ROUNDS = 4, 6
 RADIUS = 3
 SEGMENTS = 16
 #: Shingles whose bits are summed at a time.
@@ -216,64 +218,121 @@ def similarity(a: str | None, b: str | None, width: int = WIDTH) -> float:
     return both / (total - both) if total else 1.0
 
 
-def passages(text: str | None) -> set[int]:
-    """Signed hashes of the passages of a text, cut after word pairs that a hash picks, so equal passages are cut alike."""
-    words = (text or "").encode().lower().split()
-    out, start = set(), 0
-    for i in range(1, len(words)):
-        if not zlib.crc32(words[i], zlib.crc32(words[i - 1])) % PASSAGE and i - start >= WIDTH:
-            out.add(xxhash.xxh64_intdigest(b" ".join(words[start : i + 1]), SEED))
-            start = i + 1
-    if len(words) > start:
-        out.add(xxhash.xxh64_intdigest(b" ".join(words[start:]), SEED))
-    return {h - (1 << 64) if h >> 63 else h for h in out}
-
-
-def similar_links(rows: DataFrame, least: float = SIMILARITY, key: str = "__row", text: str = "text") -> DataFrame:
-    """(a, b) of pairs of rows of at least ``least`` similarity, enough to connect groups of edited copies.
-
-    Edited copies share most passages. Each passage names its least and its greatest row,
-    found by sums before the shuffle; every row that holds it is a candidate partner of
-    these two, so the candidates grow with the passages and not with the pairs of a
-    group. Pairs that share too few of their passages are left, the others' texts compared.
+def shingle_tokens(text: str | None) -> np.ndarray:
+    """Hashes of the shingles of a text, the k-th repeat of a shingle under a hash of its own."""
+    digests = shingle_digests(text, WIDTH)
+    if len(set(digests)) < len(digests):
+        seen: Counter = Counter()
+        for i, d in enumerate(digests):
+            if seen[d]:
+                digests[i] = xxhash.xxh64_digest(d + seen[d].to_bytes(4, "big"), SEED)
+            seen[d] += 1
+    return np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)
+
+
+def first_tokens(text: str | None, least: float) -> tuple[int, np.ndarray]:
+    """Number of tokens of a text, and those of its least hashes: as many as leave 1 / PART shared with any partner."""
+    tokens = shingle_tokens(text)
+    n = len(tokens)
+    size = min(n, n - math.ceil(least * n - 1e-9) + -(-n // PART))
+    return n, np.partition(tokens, size - 1)[:size] if size else tokens[:0]
+
+
+def candidate_tokens(rows: DataFrame, least: float = SIMILARITY, key: str = "__row", text: str = "text") -> DataFrame:
+    """(token, row, n, weight): any two rows of at least ``least`` similarity (0.5 or more) have a token in common.
+
+    Two texts of n and m tokens that are so similar share at least least * max(n, m) of them,
+    so among the first n - least n + n / PART by hash they share min(n, m) / PART (all
+    rounded up). Rows with fewer tokens that any other row has among their first are
+    left. Of the others' shared tokens the rarest count, as many as leave no room for a
+    pair without a common one; so what many texts repeat makes no candidates unless
+    they consist of little else. weight is the mean number of rows of a row's tokens.
     """
+    if least < 0.5:
+        raise ValueError("candidates cover similarities of 0.5 and more")
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = [passages(t) for t in b.column(1).to_pylist()]
-            keys = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(h) for h in held])
-            total = np.repeat([len(h) for h in held], [len(h) for h in held]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(total), pa.array([h for hs in held for h in hs], pa.int64())], ["row", "n", "passage"])
-
-    parts = cut(arrow_map(rows.select(key, text), cut_up, "row long, n long, passage long"), "passages")
-    ends = parts.groupBy("passage").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi")
-    met = parts.join(ends, "passage").select("row", "n", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("other")).where("row <> other")
-    pairs = met.groupBy(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b"), "row").agg(F.count("*").alias("shared"), F.min("n").alias("n"))
-    pairs = pairs.where(F.col("shared") >= F.col("n") * SHARED).select("a", "b").distinct()
-    texts = rows.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    full = pairs.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
+            held = [first_tokens(t, least) for t in b.column(1).to_pylist()]
+            sizes = [len(t) for _, t in held]
+            keys = np.repeat(b.column(0).to_numpy(zero_copy_only=False), sizes).astype(np.int64)
+            n = np.repeat(np.asarray([n for n, _ in held], np.int32), sizes)
+            tokens = np.concatenate([t for _, t in held]).view(np.int64) if held else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(tokens)], ["row", "n", "token"])
+
+    parts = arrow_map(rows.select(key, text), cut_up, "row long, n int, token long")
+    common = parts.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    need = F.greatest(F.lit(1), F.ceil(F.floor(F.col("n") * F.lit(least)) / F.lit(PART))).cast("int")
+    lists = common.groupBy("row").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"), F.avg("df").alias("weight"))
+    lists = lists.withColumn("room", F.size("all") - need + 1).where("room > 0")
+    return lists.select(F.explode(F.slice("all", F.lit(1), F.col("room"))).alias("x"), "row", "n", "weight").select("x.token", "row", "n", "weight")
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b) of the roots of the pairs (a, b, root_a, root_b) whose texts (row, text) are at least ``least`` similar."""
+    t = texts.toDF("k", "t")
+    full = pairs.join(t.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(t.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = [similarity(x, y) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return arrow_map(full.select("a", "b", "ta", "tb"), compare, "a long, b long")
+    return arrow_map(full.select("root_a", "root_b", "ta", "tb"), compare, "a long, b long")
+
+
+def similar_roots(rows: DataFrame, roots: DataFrame, least: float = SIMILARITY, key: str = "__row", text: str = "text") -> DataFrame:
+    """(root, to): where the components ``roots`` (row, root) of ``rows`` go by the pairs of at least ``least`` similarity.
+
+    The result is that of comparing all pairs. Pairs within a component need no comparison,
+    so a round first compares each token's row of greatest weight, in a group around one
+    text that text, with the token's rows of other components. Once the pairs of rows in
+    different components are few for the number of rows, or after ROUNDS, all are compared.
+    """
+    tokens = cut(candidate_tokens(rows, least, key, text), "tokens")
+    listed = tokens.select("row").distinct()
+    texts = cut(rows.join(listed.withColumnRenamed("row", key), key, "left_semi").select(key, text), "texts")
+    labels = cut(roots.join(listed, "row", "left_semi").select("row", F.col("root").alias("was"), "root"), "labels")
+    few = FEW * tokens.count()
+    tried = None
+    for k in range(ROUNDS + 1):
+        placed = cut(tokens.join(labels.select("row", "root"), "row"), "placed")
+        pivot = F.struct((F.col("weight") if k == 0 else F.xxhash64("row", F.lit(k))).alias("order"), "row", "n", "root")
+        met = placed.groupBy("token", "root").agg(F.count("*").alias("of"), F.max(pivot).alias("pivot")).groupBy("token")
+        met = cut(met.agg(F.sum("of").alias("all"), F.sum(F.col("of") * F.col("of")).alias("same"), F.max("pivot").alias("pivot")).where("all * all > same"), "met")
+        left = met.agg(F.sum(F.expr("all * all - same"))).first()[0] or 0
+        if not left:
+            break
+        last = left <= 2 * few or k == ROUNDS
+        mine = placed.join(met.select("token"), "token", "left_semi").select("token", "row", "n", "root")
+        other = mine if last else met.select("token", "pivot.row", "pivot.n", "pivot.root")
+        both = mine.join(other.toDF("token", "row_b", "n_b", "root_b"), "token").where("root <> root_b")
+        if last:
+            both = both.where("row < row_b")
+        both = both.where(F.least("n", "n_b") >= F.greatest("n", "n_b") * F.lit(least) - 1e-9)
+        ends = [F.when(F.col("row") < F.col("row_b"), F.col(x)).otherwise(F.col(y)) for x, y in (("row", "row_b"), ("row_b", "row"), ("root", "root_b"), ("root_b", "root"))]
+        pairs = both.select(*(e.alias(c) for e, c in zip(ends, ("a", "b", "root_a", "root_b"), strict=True))).distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        moved = connected_components(similar_pairs(pairs, texts, least)).toDF("root", "to")
+        labels = cut(labels.join(moved, "root", "left").select("row", "was", F.coalesce("to", "root").alias("root")), "labels")
+        if last:
+            break
+    return labels.select(F.col("was").alias("root"), F.col("root").alias("to")).distinct()
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each group of near copies: the smallest id's (nulls last).
 
-    Fingerprints over shingles of WIDTH words link texts within ``radius`` bits, which edits
-    soon exceed; one row of each group found so is then linked to others of at least
-    ``least`` similarity through shared passages. Columns and texts stay as they are.
+    Two texts are near copies if their fingerprints over shingles of WIDTH words are within
+    ``radius`` bits, or if they are at least ``least`` similar; groups are what such links
+    connect, over all different texts. Columns and texts stay as they are.
     """
     marked = cut(with_fingerprint(docs, text, WIDTH, "__fp").withColumn("__row", F.monotonically_increasing_id()), "near")
     rows = marked.select(F.col("__row").alias("doc_id"), F.col("__fp").alias("simhash"), F.col(doc_id).alias("id"))
-    grouped = _grouped(rows, radius).withColumnRenamed("component_id", "group")
-    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "doc_id"))
-    kept = cut(grouped.groupBy("group").agg(best.alias("best")).select("best.no_id", "best.id", F.col("best.doc_id").alias("__row")), "kept")
-    roots = connected_components(similar_links(marked.join(kept.select("__row"), "__row", "left_semi").select("__row", text), least, text=text))
-    placed = kept.join(roots.withColumnRenamed("node", "__row"), "__row", "left").withColumn("root", F.coalesce("root", "__row"))
-    keep = placed.groupBy("root").agg(F.min(F.struct("no_id", "id", "__row")).alias("best")).select("best.__row")
+    grouped = cut(_grouped(rows, radius).select(F.col("doc_id").alias("row"), "id", F.col("component_id").alias("root")), "groups")
+    once = marked.groupBy(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).agg(F.min("__row").alias("__row")).select("__row")
+    moved = similar_roots(marked.join(once, "__row", "left_semi").select("__row", text), grouped.select("row", "root"), least, text=text)
+    placed = grouped.join(moved, "root", "left").withColumn("root", F.coalesce("to", "root"))
+    keep = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("best")).select(F.col("best.row").alias("__row"))
     return marked.join(keep, "__row", "left_semi").select(*docs.columns)

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import xxhash
 
@@ -114,3 +115,60 @@ def test_similarity_counts_repeats():
     assert simhash.similarity("a b c d e f", "a b c d e f") == 1.0
     assert simhash.similarity("a b c d e f", "x b c d e f") == 1 / 3
     assert simhash.similarity(None, "") == 1.0
+
+
+def brute_kept(rows):
+    """The least id of each component by fingerprints and similarity, every pair compared."""
+    fps = [brute_fingerprint(t, simhash.WIDTH) for _, t in rows]
+    counts = [Counter(simhash.shingle_digests(t, simhash.WIDTH)) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if top(i) != top(j):
+                both, both_not = (counts[i] & counts[j]).total(), (counts[i] | counts[j]).total()
+                if (fps[i] ^ fps[j]).bit_count() <= 3 or both >= 0.8 * both_not:
+                    root[top(i)] = top(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[top(i)] = min(d, least.get(top(i), d))
+    return sorted(least.values())
+
+
+def kept(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    return sorted(r.doc_id for r in simhash.one_of_each(df).collect())
+
+
+def edited(rng, vocab, base, every):
+    words = list(base)
+    for i in range(0, len(words), every):
+        words[rng.randrange(i, min(i + every, len(words)))] = rng.choice(vocab)
+    return " ".join(words)
+
+
+def test_copies_around_a_base_leave_one(spark):
+    rng = random.Random(5)
+    vocab = [f"v{i}" for i in range(5000)]
+    rows = []
+    for copies, every in ((12, 75), (12, 75), (12, 75), (60, 60)):
+        base = [rng.choice(vocab) for _ in range(300)]
+        texts = [edited(rng, vocab, base, every) for _ in range(copies)]
+        texts.insert(copies // 2, " ".join(base))
+        rows += [(len(rows) + i, t) for i, t in enumerate(texts)]
+    assert kept(spark, rows) == brute_kept(rows)
+    assert len(kept(spark, rows)) == 4
+
+
+def test_rounds_without_all_pairs_agree(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FEW", 0)
+    rng = random.Random(7)
+    vocab = [f"v{i}" for i in range(5000)]
+    base = [rng.choice(vocab) for _ in range(200)]
+    rows = [(i, edited(rng, vocab, base, every)) for i, every in enumerate([25, 40, 50, 60, 80] * 8)]
+    assert kept(spark, rows) == brute_kept(rows)
