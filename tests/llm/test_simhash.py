@@ -165,6 +165,25 @@ def test_copies_around_a_base_leave_one(spark):
     assert len(kept(spark, rows)) == 4
 
 
+def test_short_texts_and_shared_notices_lose_no_pair(spark):
+    rng = random.Random(6)
+    vocab = [f"v{i}" for i in range(5000)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    texts = ["one", "one", "one two", None, ""]
+    for n in [1, 4, 5, 9, 15, 25, 40] * 12:
+        base = some(n)
+        texts += [" ".join(base), " ".join([*base, "end"])]
+    notice = some(150)
+    texts.append(" ".join([*some(40), *notice]))
+    for n in [20, 30, 60] * 12:
+        base = some(n)
+        texts += [" ".join([*base, *notice]), edited(rng, vocab, base, n) + " " + " ".join(notice)]
+    texts.append(" ".join([*some(40), *notice]))
+    texts += [" ".join(["again and"] * 40), " ".join(["again and"] * 44), " ".join(["again and"] * 60)]
+    rows = list(enumerate(texts))
+    assert kept(spark, rows) == brute_kept(rows)
+
+
 def test_rounds_without_all_pairs_agree(spark, monkeypatch):
     monkeypatch.setattr(simhash, "FEW", 0)
     rng = random.Random(7)
