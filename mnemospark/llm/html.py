@@ -36,6 +36,8 @@ from mnemospark.llm.html_pages import labelled_page
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object select option button head".split())
+#: What leaves an open head open; any other element ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 UNPARSED = frozenset("script style textarea title iframe noscript".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -82,6 +84,9 @@ class Page:
             close, tag = m[1], m[2]
             if tag:
                 tag = tag.lower()
+                while tag not in IN_HEAD and tags[open_[-1]] == "head":
+                    open_.pop()
+                    muted -= 1
                 if tag == "body":
                     continue
                 if tag in BLOCKS:

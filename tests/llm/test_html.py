@@ -80,3 +80,11 @@ def test_frames(spark):
     assert got[1] == got[None] == one and got[3] == "" and got[4] == "\n\n".join([one] * 3000)
     assert html.extract(df).columns == [*df.columns, "__text"]
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_head_without_its_end_hides_no_text():
+    article = "<article><h1>A title</h1>" + "<p>The river rose in the night, and the town woke to wet streets. Nobody was hurt.</p>" * 4 + "</article>"
+    weights, pair = html.trained()
+    for start in ("<head><title>t</title><meta charset=utf-8></head><body>", "<head><title>t</title><meta charset=utf-8><body>", "<head><title>t</title><style>p {}</style>", "<head><template><div>hidden</div></template><body>"):
+        (text,) = html.main_texts([f"<html>{start}{article}"], weights, pair)
+        assert text.count("The river rose") == 4 and "hidden" not in text
