@@ -152,5 +152,5 @@ FROM t GROUP BY conv_id
 
 @_query
 def op9_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copy class and number of links of every vector of ``embeddings``, drawn as an image; no table holds images."""
+    """Copy class of every vector of ``embeddings``, drawn as an image, and the class's size; no table holds images."""
     return media.copies(media.rendered(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
