@@ -1,29 +1,33 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Features of a text are its words, the beginnings of its words (PREFIXES letters), and the
-beginnings that at least two different words of the text share.
-Examples are a bounded sample of the labelled rows, drawn by a hash of their ids, at
-most EXAMPLES of each label. Of the features with at least LEAST_RATIO times the share
-of toxic examples that they have of the others, those that tell the labels apart (chi-square of at least LEAST_CHI, the FEATURES highest)
-span the vector space, so that chance likeness of common words doesn't drown the
-signal. Document frequencies of those features are counted over all texts. Weights are
-(1 + ln tf) * ln(1 + N / df). Selection counts are summed by task and feature on the
-executors; the driver gets chosen features and the examples' vectors over them.
-
-The index holds, for each feature, postings in blocks of BLOCK examples and the largest
-weight of each block. A query's bound for a block is its weights times those maxima;
-blocks are scored from the highest bound down and the rest are left once no bound
-exceeds the worst of the NEIGHBOURS found, so the neighbours are the exact ones. Their
-labels vote with the square of the cosine against a weight FAR for a clean label far
-away, so that only distant neighbours count for little, and a logistic curve, fitted to the votes that
-examples get from the others with each label weighed by its share of all labelled rows,
-turns votes into scores. Texts without a feature have no neighbour and get the share of
-toxic rows among such examples.
-
-Defined results: null and empty texts have no feature; repeated rows are scored each;
+Terms of a text are its words and the beginnings (PREFIXES letters) that at least two
+different words of it share. Examples are a bounded sample of the labelled rows, drawn by a
+hash of their ids, at most EXAMPLES of each label. All terms that LEAST_SHARE of the
+examples hold span the vector space, whatever the examples' labels; so their number is at
+most a text's usual number of terms by LEAST_SHARE, and grows with neither corpus nor
+examples. Document frequencies are counted over all texts. A term that stands n times
+weighs (1 + ln n) * ln(N / df) ** RARITY.
+
+The index holds the examples in blocks of BLOCK and for each term the largest weight in
+each block. A text's bound for a block is its weights times those maxima. Many texts are
+taken together: blocks are scored in turn for the texts whose bound still exceeds the
+worst of their nearest found, a text's own best block first, so the neighbours are the
+exact ones; a text has as many as the square root of the number of examples. In a block,
+terms that many examples hold are dense rows, others are postings. Examples are put in
+order of their likeness first, so that a block's bounds are tight for texts of another
+kind. A text that is an example itself is not its own neighbour.
+
+The neighbours' labels vote with the cosine against a weight FAR for a clean label far
+away, so that only distant neighbours count for little, and a logistic curve, fitted to the
+votes that examples get from the others with each label weighed by its share of all
+labelled rows, turns votes into scores. Texts without a term have no neighbour and get the
+share of toxic rows among such examples.
+
+Defined results: null and empty texts have no term; repeated rows are scored each;
 labels of ids without a text are ignored; an id labelled twice counts as toxic if one
 label says so; without labels of both kinds every score is the share of toxic ones (0
-without any label); extra columns are kept.
+without any label); ties of neighbours go to the example that comes first; extra columns
+are kept, and the two new ones take the names they are given.
 """
 
 from __future__ import annotations
@@ -38,164 +42,219 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.arrow import arrow_map
+from mnemospark.llm.arrow import appended, arrow_map, column
 from mnemospark.plans.lineage import cut
 
 #: Labelled rows drawn of label 0 and of label 1.
 EXAMPLES = (12_000, 3_000)
-FEATURES = 1024
-#: Chance brings one feature in twenty million to this value, so hardly one of a corpus' million.
-LEAST_CHI = 30.0
-LEAST_TEXTS = 3
-LEAST_RATIO = 5.0
+#: Terms of fewer examples are left out.
+LEAST_SHARE, LEAST_TEXTS = 0.002, 2
+RARITY = 1.5
 PREFIXES = (4, 5, 6, 7, 8)
-NEIGHBOURS = 15
 FAR = 0.5
-BLOCK = 256
+BLOCK = 512
+#: Terms that a larger share of the examples holds are dense rows of a block.
+DENSE = 1 / 16
+#: Texts whose neighbours are searched together.
+TOGETHER = 256
 #: Partial counts that a task holds before it passes them on.
 HELD = 300_000
 WORD = re.compile(r"\w+")
 
 
-def features(text: str | None) -> set[str]:
-    """Words, with a caret the beginnings of longer words, and with two those that several words share."""
-    words = set(WORD.findall(text.lower())) if text else set()
+def shared_beginnings(words: Counter) -> dict[str, int]:
+    """Beginnings that several different words share, with the number of words beyond the first."""
     begun = Counter(w[:k] for w in words for k in PREFIXES if len(w) > k)
-    return words | {"^" + p for p in begun} | {"^^" + p for p, n in begun.items() if n > 1}
+    return {p: n - 1 for p, n in begun.items() if n > 1}
+
+
+def terms(text: str | None) -> set[str]:
+    """Words, and with a caret the beginnings that several of them share."""
+    words = Counter(WORD.findall(text.lower())) if text else Counter()
+    return {*words, *("^" + p for p in shared_beginnings(words))}
 
 
 class Space:
-    """Counts of the chosen features of texts."""
+    """Counts of known terms of texts."""
 
     def __init__(self, names: list[str]) -> None:
+        self.size = len(names)
         self.words = {f: i for i, f in enumerate(names) if f[0] != "^"}
-        self.once = {f[1:]: i for i, f in enumerate(names) if f[0] == "^" and f[:2] != "^^"}
-        self.again = {f[2:]: i for i, f in enumerate(names) if f[:2] == "^^"}
-        self.beginnings = self.once.keys() | self.again.keys()
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        begun: dict[str, list[int]] = {}
-        known, beginnings = self.words, self.beginnings
-        for w, n in Counter(WORD.findall(text.lower())).items() if text else ():
-            if w in known:
-                out[known[w]] = n
-            for k in PREFIXES:
-                if len(w) <= k:
-                    break
-                if (p := w[:k]) in beginnings:
-                    begun.setdefault(p, []).append(n)
-        for p, ns in begun.items():
-            if p in self.once:
-                out[self.once[p]] = sum(ns)
-            if len(ns) > 1 and p in self.again:
-                out[self.again[p]] = len(ns) - 1
-        return out
-
-
-def select(examples: DataFrame, sizes: tuple[int, int]) -> list[str]:
-    """The features of ``examples`` (text, toxic) that mark toxic ones best."""
+        self.begun = {f[1:]: i for i, f in enumerate(names) if f[0] == "^"}
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, counts) of a text."""
+        if not text:
+            return np.empty(0, np.int32), np.empty(0, np.int32)
+        known, begun = self.words, self.begun
+        words = Counter(WORD.findall(text.lower()))
+        out = {known[w]: n for w, n in words.items() if w in known}
+        seen = Counter([p for k in PREFIXES for w in words if len(w) > k and (p := w[:k]) in begun])
+        out.update((begun[p], n - 1) for p, n in seen.items() if n > 1)
+        return np.fromiter(out, np.int32, len(out)), np.fromiter(out.values(), np.int32, len(out))
+
+
+def select(examples: DataFrame, total: int) -> list[str]:
+    """The terms that LEAST_SHARE of the ``total`` examples (text) hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: tuple[Counter, Counter] = (Counter(), Counter())
+        df: Counter = Counter()
 
         def rows() -> pa.RecordBatch:
-            names = list(df[0] | df[1])
-            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in df)], ["f", "b", "a"])
-            df[0].clear(), df[1].clear()
+            out = pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], ["f", "n"])
+            df.clear()
             return out
 
         for batch in batches:
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                df[y].update(features(t))
-                if len(df[0]) > HELD:
+            for t in batch.column(0).to_pylist():
+                df.update(terms(t))
+                if len(df) > HELD:
                     yield rows()
         yield rows()
 
-    n0, n1 = (float(max(1, n)) for n in sizes)
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    top = a * (n0 - b) - b * (n1 - a)
-    chi = (n0 + n1) * top * top / F.greatest(F.lit(1.0), (a + b) * (n0 + n1 - a - b) * n0 * n1)
-    summed = arrow_map(examples.select("text", "toxic"), run, "f string, b long, a long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    found = summed.where((a / n1 > LEAST_RATIO * b / n0) & (a + b >= LEAST_TEXTS)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI)
-    return [r.f for r in found.orderBy(F.desc("chi"), "f").limit(FEATURES).collect()]
+    summed = arrow_map(examples.select("text"), run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    least = max(LEAST_TEXTS, math.ceil(LEAST_SHARE * total))
+    return sorted(r.f for r in summed.where(F.col("n") >= least).select("f").collect())
 
 
-class Index:
-    """Block-max inverted index of unit vectors."""
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
-    def __init__(self, vectors: list[dict[int, float]], size: int) -> None:
-        self.n = len(vectors)
+
+class Index:
+    """Block-max inverted index of vectors, each given as (terms, weights)."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], size: int) -> None:
+        self.n, self.size = len(vectors), size
+        sizes = np.fromiter((len(t) for t, _ in vectors), np.int64, self.n)
+        term = np.concatenate([t for t, _ in vectors]).astype(np.int64) if self.n else np.empty(0, np.int64)
+        weight = np.concatenate([w for _, w in vectors]) if self.n else np.empty(0)
+        df = np.bincount(term, minlength=size)
+        dense = np.flatnonzero(df > DENSE * max(1, self.n))
+        self.row = np.full(size, -1, np.int64)  # of a dense term
+        self.row[dense] = np.arange(len(dense))
+        # likeness: the frequent terms that an example holds, the most frequent first
+        of = np.repeat(np.arange(self.n), sizes)
+        rank = dense[np.argsort(-df[dense], kind="stable")][:64]
+        holds = np.zeros((self.n, len(rank)), bool)
+        for k, t in enumerate(rank.tolist()):
+            holds[of[term == t], k] = True
+        self.order = np.lexsort(holds.T[::-1]) if len(rank) else np.arange(self.n)  # place -> example
+        place = np.empty(self.n, np.int64)
+        place[self.order] = np.arange(self.n)
+        self.place, at = place, place[of]
         self.blocks = -(-self.n // BLOCK)
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(size)]
-        for i, v in enumerate(vectors):
-            for f, w in v.items():
-                lists[f].append((i, w))
-        self.ids = [np.asarray([i for i, _ in x], np.int32) for x in lists]
-        self.weights = [np.asarray([w for _, w in x]) for x in lists]
-        self.starts = [np.searchsorted(ids, np.arange(self.blocks + 1) * BLOCK) for ids in self.ids]
-        self.highest = np.zeros((size, self.blocks))
-        for f, (ids, ws) in enumerate(zip(self.ids, self.weights, strict=True)):
-            np.maximum.at(self.highest[f], ids // BLOCK, ws)
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -BLOCK) -> list[tuple[float, int]]:
-        """The k examples of highest positive cosine, ties by position; exact."""
-        fs = list(query)
-        bounds = np.asarray([query[f] for f in fs]) @ self.highest[fs] if fs else np.empty(0)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            least = -best[-1][0] if len(best) == k else 0.0
-            if bounds[b] <= 0 or bounds[b] < least - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for f in fs:
-                lo, hi = self.starts[f][b], self.starts[f][b + 1]
-                if lo < hi:
-                    scores[self.ids[f][lo:hi] - b * BLOCK] += query[f] * self.weights[f][lo:hi]
-            if without // BLOCK == b:
-                scores[without % BLOCK] = 0
+        self.highest = np.zeros((size, self.blocks), np.float32)
+        np.maximum.at(self.highest, (term, at // BLOCK), np.nextafter(weight.astype(np.float32), np.float32(2)))
+        is_dense = self.row[term] >= 0
+        self.dense = np.zeros((self.blocks, len(dense), BLOCK))
+        self.dense[at[is_dense] // BLOCK, self.row[term[is_dense]], at[is_dense] % BLOCK] = weight[is_dense]
+        order = np.lexsort((at[~is_dense], term[~is_dense], at[~is_dense] // BLOCK))
+        t, p = term[~is_dense][order], at[~is_dense][order]
+        self.ids, self.weights = (p % BLOCK).astype(np.int16), weight[~is_dense][order]
+        self.starts = np.searchsorted((p // BLOCK) * size + t, np.arange(self.blocks * size + 1)).astype(np.int32)
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines, examples) of each query's k nearest, by cosine and then example; 0 and -1 where fewer are above 0."""
+        m = len(queries)
+        best, which = np.zeros((m, k)), np.full((m, k), -1, np.int64)
+        sizes = np.fromiter((len(t) for t, _ in queries), np.int64, m)
+        if not self.n or not sizes.sum():
+            return best, which
+        of = np.repeat(np.arange(m), sizes)
+        term, weight = np.concatenate([t for t, _ in queries]).astype(np.int64), np.concatenate([w for _, w in queries])
+        row = self.row[term]
+        some = row >= 0
+        dense = np.zeros((m, self.dense.shape[1]))
+        dense[of[some], row[some]] = weight[some]
+        of_, term_, weight_ = of[~some], term[~some], weight[~some]
+        bounds = np.zeros((m, self.blocks))
+        filled = np.flatnonzero(sizes)
+        bounds[filled] = np.add.reduceat(self.highest[term] * weight[:, None], np.concatenate(([0], np.cumsum(sizes)))[:-1][filled], axis=0)
+        skip = np.asarray([self.place[x] if x >= 0 else -1 for x in without], np.int64) if without is not None else np.full(m, -1)
+        first = bounds.argmax(1)
+        # every text's best block sets its threshold; then each block is scored for the texts that it may still matter to
+        for own, b in [(True, b) for b in np.unique(first[filled]).tolist()] + [(False, b) for b in np.argsort(-bounds.mean(0), kind="stable").tolist()]:
+            rows = np.flatnonzero((bounds[:, b] >= np.maximum(best[:, -1] - 1e-9, 1e-300)) & ((first == b) == own))
+            if not len(rows):
+                continue
+            scores = dense[rows] @ self.dense[b]
+            local = np.full(m, -1)
+            local[rows] = np.arange(len(rows))
+            mine = local[of_] >= 0
+            t = b * self.size + term_[mine]
+            low, count = self.starts[t].astype(np.int64), (self.starts[t + 1] - self.starts[t]).astype(np.int64)
+            at = _ranges(low, count)
+            cells = np.repeat(local[of_[mine]] * BLOCK, count) + self.ids[at]
+            scores += np.bincount(cells, np.repeat(weight_[mine], count) * self.weights[at], scores.size).reshape(scores.shape)
+            hit = np.flatnonzero((skip[rows] >= 0) & (skip[rows] // BLOCK == b))
+            scores[hit, skip[rows][hit] % BLOCK] = 0
             # examples of equal vectors must tie whatever the order of their sums
-            scores = scores.round(12)
-            at = np.flatnonzero((scores > 0) & (scores >= least))
-            at = at[np.argsort(-scores[at], kind="stable")[:k]]
-            best = sorted([*best, *zip((-scores[at]).tolist(), (at + b * BLOCK).tolist(), strict=True)])[:k]
-        return [(-s, i) for s, i in best]
+            scores = scores.round(10)
+            ids = np.full(BLOCK, -1, np.int64)
+            held = self.order[b * BLOCK : (b + 1) * BLOCK]
+            ids[: len(held)] = held
+            s = np.concatenate((best[rows], scores), 1)
+            i = np.concatenate((which[rows], np.broadcast_to(ids, scores.shape)), 1)
+            # the k best by cosine, with all that tie with the last, then in order of example
+            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+            for r, (line, of_line, low_) in enumerate(zip(s, i, least, strict=True)):
+                some = np.flatnonzero(line >= low_)
+                some = some[np.lexsort((of_line[some], -line[some]))[:k]]
+                best[rows[r]], which[rows[r]] = line[some], of_line[some]
+        which[best <= 0] = -1
+        return best, which
 
 
 class Model:
     """What the executors need to score texts."""
 
-    def __init__(self, names: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], sizes: tuple[int, int], shares: tuple[float, float]) -> None:
-        """``examples``: (id, label, counts) of those that have a chosen feature; sizes: of all examples by label."""
-        self.space, self.idf = Space(names), idf
-        self.ids, self.labels = [i for i, _, _ in examples], np.asarray([y for _, y, _ in examples], np.int64)
-        vectors = [self.vector(c) for _, _, c in examples]
+    def __init__(self, names: list[str], idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], sizes: tuple[int, int], shares: tuple[float, float]) -> None:
+        """``examples``: (id, label, terms, counts) of those that have a term; sizes: of all examples by label."""
+        self.names, self.idf = names, idf
+        self.ids, self.labels = [i for i, *_ in examples], np.asarray([y for _, y, *_ in examples], np.int64)
+        self.example = {i: k for k, i in enumerate(self.ids)}
+        vectors = [self.vector(t, n) for *_, t, n in examples]
+        self.neighbours = math.ceil(math.sqrt(max(1, sum(sizes))))
         self.index = Index(vectors, len(names))
         weight = [shares[k] / max(1, sizes[k]) for k in (0, 1)]
         bare = [weight[k] * (sizes[k] - int((self.labels == k).sum())) for k in (0, 1)]
         self.bare = bare[1] / sum(bare) if sum(bare) > 0 else shares[1]
-        votes = [self.vote(self.index.nearest(v, NEIGHBOURS, i)) for i, v in enumerate(vectors)]
-        own = [i for i, v in enumerate(votes) if v is not None]
-        self.curve = logistic(np.asarray([votes[i] for i in own]), self.labels[own], np.asarray([weight[self.labels[i]] for i in own])) if own else (0.0, 0.0)
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {i: (1 + math.log(n)) * self.idf[i] for i, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {i: w / norm for i, w in v.items()} if norm else {}
-
-    def vote(self, near: list[tuple[float, int]]) -> float | None:
-        weights = np.asarray([s * s for s, _ in near])
-        return float((weights * self.labels[[i for _, i in near]]).sum() / (weights.sum() + FAR)) if near and weights.sum() > 0 else None
-
-    def score(self, text: str | None) -> tuple[float, str]:
-        """Score, and as evidence the three nearest examples as id:label:cosine."""
-        v = self.vector(self.space.counts(text))
-        near = self.index.nearest(v, NEIGHBOURS) if v else []
-        vote = self.vote(near)
-        if vote is None:
-            return self.bare, ""
+        votes = np.concatenate([np.empty(0), *(self.votes(*self.index.nearest(vectors[at : at + TOGETHER], self.neighbours, list(range(at, min(at + TOGETHER, len(vectors)))))) for at in range(0, len(vectors), TOGETHER))])
+        own = np.flatnonzero(~np.isnan(votes))
+        self.curve = logistic(votes[own], self.labels[own], np.asarray(weight)[self.labels[own]]) if len(own) else (0.0, 0.0)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "space"}
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.idf[terms]
+        some = w > 0
+        terms, w = terms[some], w[some]
+        return terms, w / math.sqrt((w * w).sum()) if len(w) else w
+
+    def votes(self, cosines: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Share of toxic neighbours by cosine; not a number without a neighbour."""
+        toxic = np.where(which >= 0, self.labels[which] if len(self.labels) else 0, 0)
+        total = cosines.sum(1)
+        return np.where(total > 0, (cosines * toxic).sum(1) / (total + FAR), np.nan)
+
+    def score_all(self, texts: list[str | None], ids: list[int | None]) -> tuple[np.ndarray, list[str]]:
+        """Scores, and as evidence the three nearest examples as id:label:cosine."""
+        if not hasattr(self, "space"):
+            self.space = Space(self.names)
+        out, evidence = np.empty(len(texts)), []
         a, b = self.curve
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * vote + b)))), ",".join(f"{self.ids[i]}:{self.labels[i]}:{s:.3f}" for s, i in near[:3])
+        for at in range(0, len(texts), TOGETHER):
+            part = texts[at : at + TOGETHER]
+            cosines, which = self.index.nearest([self.vector(*self.space.counts(t)) for t in part], self.neighbours, [self.example.get(i, -1) for i in ids[at : at + TOGETHER]])
+            votes = self.votes(cosines, which)
+            with np.errstate(invalid="ignore"):
+                out[at : at + len(part)] = np.where(np.isnan(votes), self.bare, 1 / (1 + np.exp(-np.clip(a * votes + b, -30, 30))))
+            evidence += [",".join(f"{self.ids[i]}:{self.labels[i]}:{s:.3f}" for s, i in zip(c, w, strict=True) if i >= 0) for c, w in zip(cosines[:, :3].tolist(), which[:, :3].tolist(), strict=True)]
+        return out, evidence
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -214,8 +273,8 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return max(a, 0.0), b
 
 
-def feature_df(docs: DataFrame, names: list[str], text: str = "text") -> tuple[int, np.ndarray]:
-    """The number of texts, and of those that hold each feature; one row of sums per task and feature."""
+def term_df(docs: DataFrame, names: list[str], text: str = "text") -> tuple[int, np.ndarray]:
+    """The number of texts, and of those that hold each term; one row of sums per task and term."""
     size = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,12 +282,12 @@ def feature_df(docs: DataFrame, names: list[str], text: str = "text") -> tuple[i
         for b in batches:
             for t in b.column(0).to_pylist():
                 sums[-1] += 1
-                sums[list(space.counts(t))] += 1
+                sums[space.counts(t)[0]] += 1
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["at", "n"])
 
-    rows = arrow_map(docs.select(text), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # FEATURES + 1 rows at most
-    out = np.zeros(len(names) + 1, np.int64)
+    rows = arrow_map(docs.select(column(text)), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # a row for each term and one more
+    out = np.zeros(size + 1, np.int64)
     for r in rows:
         out[r["at"]] = r["n"]
     return int(out[-1]), out[:-1]
@@ -243,40 +302,37 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     drawn = [(r.doc_id, r.toxic) for k in (0, 1) for r in known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[k]).collect()]
     ids = docs.sparkSession.createDataFrame(drawn, "id long, toxic int")
     # at most sum(most) rows are broadcast
-    examples = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id")
+    examples = docs.select(column(doc_id).alias("id"), column(text).alias("text")).join(F.broadcast(ids), "id")
     examples = cut(examples.groupBy("id", "toxic").agg(F.max("text").alias("text")), "examples")
     sizes = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     sizes = (sizes.get(0, 0), sizes.get(1, 0))
-    names = select(examples, sizes)
-    n, df = feature_df(docs, names, text)
+    names = select(examples, sum(sizes))
+    n, df = term_df(docs, names, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space(names)
         for b in batches:
-            rows = [(i, y, list(c), list(c.values())) for i, y, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) if (c := space.counts(t))]
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            rows = [(i, y, t.tobytes(), c.tobytes()) for i, y, (t, c) in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), map(space.counts, b.column(2).to_pylist()), strict=True) if len(t)]
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["id", "toxic", "at", "n"])
 
-    rows = arrow_map(examples.select("id", "toxic", "text"), run, "id long, toxic int, at array<long>, n array<long>").collect()
-    vectors = sorted((r.id, r.toxic, dict(zip(r.at, r.n, strict=True))) for r in rows)
-    return Model(names, np.log(1 + n / np.maximum(df, 1)), vectors, sizes, shares)
+    rows = arrow_map(examples.select("id", "toxic", "text"), run, "id long, toxic int, at binary, n binary").collect()  # sum(most) rows at most
+    vectors = [(r.id, r.toxic, np.frombuffer(r.at, np.int32), np.frombuffer(r.n, np.int32)) for r in sorted(rows, key=lambda r: r.id)]
+    return Model(names, np.log(np.maximum(1, n / np.maximum(df, 1))) ** RARITY, vectors, sizes, shares)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with __score and __evidence appended; no shuffle."""
-    kept = docs.columns
+def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", score: str = "__score", evidence: str = "__evidence") -> DataFrame:
+    """``docs`` with the score and its evidence appended; no shuffle."""
+    kept = [c for c in docs.columns if c not in (score, evidence)]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            found = [m.score(t) for t in b.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in kept), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.string())], [*kept, "__score", "__evidence"]
-            )
+            found, why = m.score_all(b.column(text).to_pylist(), b.column(doc_id).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(found), pa.array(why, pa.string())], [*kept, score, evidence])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_map(docs, run, f"{fields}, __score double, __evidence string")
+    return arrow_map(docs.select(*map(column, kept)), run, appended(docs.select(*map(column, kept)).schema, {score: "double", evidence: "string"}))
 
 
 def learnable(labels: DataFrame) -> DataFrame:

@@ -6,30 +6,92 @@ import numpy as np
 from mnemospark.llm import toxicity
 
 
+def dictionary(v):
+    return dict(zip(v[0].tolist(), v[1].tolist(), strict=True))
+
+
 def test_index_finds_the_exact_neighbours():
     rng = random.Random(8)
     vectors = []
-    for _ in range(700):
-        v = {f: rng.random() for f in rng.sample(range(50), rng.randint(0, 6))}
-        n = sum(w * w for w in v.values()) ** 0.5
-        vectors.append({f: w / n for f, w in v.items()} if n else {})
-    vectors += vectors[:40]
-    index = toxicity.Index(vectors, 50)
-    for q in vectors[::7]:
-        cos = [(-round(sum(w * v.get(f, 0) for f, w in q.items()), 12), i) for i, v in enumerate(vectors)]
-        want = [(-s, i) for s, i in sorted(c for c in cos if c[0] < 0)[:15]]
-        got = index.nearest(q, 15)
-        assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in want]
-        assert [i for _, i in got] == [i for _, i in want]
+    for _ in range(1500):
+        # the first terms are frequent, the others rare
+        held = sorted({f for f in range(12) if rng.random() < 0.4} | set(rng.sample(range(12, 400), rng.randint(0, 6)))) if rng.random() < 0.97 else []
+        w = np.asarray([rng.random() for _ in held])
+        vectors.append((np.asarray(held, np.int32), w / np.sqrt((w * w).sum()) if held else w))
+    vectors += vectors[:140]
+    index = toxicity.Index(vectors, 400)
+    assert index.blocks == 4 and index.dense.shape[1] > 5
+    flat = [dictionary(v) for v in vectors]
+    own = list(range(0, len(vectors), 7))
+    for skip in (False, True):
+        cosines, which = index.nearest([vectors[i] for i in own], 15, [i if skip else -1 for i in own])
+        for r, i in enumerate(own):
+            cos = [(-round(sum(w * v.get(f, 0) for f, w in flat[i].items()), 10), j) for j, v in enumerate(flat) if not skip or j != i]
+            want = sorted(c for c in cos if c[0] < 0)[:15]
+            n = len(want)
+            assert which[r, :n].tolist() == [j for _, j in want] and (which[r, n:] == -1).all()
+            assert np.allclose(cosines[r, :n], [-s for s, _ in want]) and not cosines[r, n:].any()
+
+
+def test_terms_by_hand():
+    text = "Stupid stupider words, words"
+    assert toxicity.terms(text) == {"stupid", "stupider", "words", "^stup", "^stupi"}
+    space = toxicity.Space(["stupid", "^stupi", "absent", "words"])
+    assert dict(zip(*(x.tolist() for x in space.counts(text)), strict=True)) == {0: 1, 1: 1, 3: 2}
+    assert toxicity.terms(None) == toxicity.terms("") == set()
 
 
 def test_document_frequencies(spark):
-    texts = ["stupid words", "Stupid stupider", "", None, "nothing"]
+    texts = ["stupid words", "Stupid stupider", "", None, "nothing stupidest stupids"]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    n, counts = toxicity.feature_df(df, ["stupid", "^stupi", "absent", "words"])
+    n, counts = toxicity.term_df(df, ["stupid", "^stup", "absent", "words"])
     assert (n, counts.tolist()) == (5, [2, 2, 0, 1])
 
 
+def test_scores_are_those_of_all_cosines(spark):
+    """Selection, weights, neighbours and votes against plain dictionaries; only the curve is the model's."""
+    rows = corpus()[:300]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 3], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    held = {i: toxicity.terms(t) for i, t, _ in rows}
+    examples = [(i, y) for i, _, y in rows if i % 3]
+    names = {f for i, _ in examples for f in held[i]}
+    names = {f for f in names if sum(f in held[i] for i, _ in examples) >= max(2, 0.002 * len(examples))}
+    assert names == set(model.names)
+    df = {f: sum(f in x for x in held.values()) for f in names}
+
+    def vector(text):
+        words = toxicity.WORD.findall(text.lower())
+        tf = {f: words.count(f) for f in names if f in words}
+        for f in names:
+            begun = {w for w in words if len(w) > len(f) - 1 and w.startswith(f[1:])}
+            if f[0] == "^" and len(begun) > 1:
+                tf[f] = len(begun) - 1
+        v = {f: (1 + np.log(n)) * np.log(len(rows) / df[f]) ** 1.5 for f, n in tf.items()}
+        size = sum(w * w for w in v.values()) ** 0.5
+        return {f: w / size for f, w in v.items() if w}
+
+    known = [(i, y, vector(rows[i][1])) for i, y in examples]
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    a, b = model.curve
+    for i, t, _ in rows[::5]:
+        q = vector(t)
+        near = sorted(((round(sum(w * v.get(f, 0) for f, w in q.items()), 10), -j, y) for j, y, v in known if j != i), reverse=True)[:15]  # 200 examples
+        near = [x for x in near if x[0] > 0]
+        vote = sum(s * y for s, _, y in near) / (sum(s for s, *_ in near) + toxicity.FAR)
+        assert abs(got[i]["__score"] - 1 / (1 + np.exp(-(a * vote + b)))) < 1e-6, i
+        assert got[i]["__evidence"] == ",".join(f"{-j}:{y}:{s:.3f}" for s, j, y in near[:3])
+
+
+def test_the_own_label_has_no_say(spark):
+    rows = corpus()[:200]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    for r in toxicity.score(docs, model).collect():
+        assert f"{r.doc_id}:" not in ["".join(x.partition(":")[:2]) for x in r["__evidence"].split(",")]
+
+
 def corpus():
     rng = random.Random(9)
     clean = ["".join(rng.choice(["th", "an", "er", "ing", "on"]) for _ in range(3)) for _ in range(200)]
@@ -46,12 +108,13 @@ def corpus():
 def test_held_out_accuracy_and_edges(spark):
     rows = corpus()
     extra = [(None, "vile crude vilest", 0), (9001, None, 0), (9002, "", 0), (9003, "word " * 30_000 + "vile crude vilest", 0), (9004, "vile crude vilest", 0), (9004, "vile crude vilest", 0)]
-    docs = spark.createDataFrame([(i, t, 0.5) for i, t, _ in rows + extra], "doc_id long, text string, score double")
+    docs = spark.createDataFrame([(i, t, 0.5, 7) for i, t, _ in rows + extra], "doc_id long, text string, score double, `a.b` int")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(77777, 1), (None, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.train(docs, toxicity.learnable(labels))
     assert not {i for i in model.ids if zlib.crc32(str(i).encode()) % 3 == 1}
     got = toxicity.score(docs, model)
-    assert got.columns == ["doc_id", "text", "score", "__score", "__evidence"]
+    assert got.columns == ["doc_id", "text", "score", "a.b", "__score", "__evidence"]
+    assert toxicity.score(got, model, score="s", evidence="e").columns == [*got.columns, "s", "e"]
     scores = {}
     for r in got.collect():
         assert 0 <= r["__score"] <= 1
