@@ -14,8 +14,9 @@ templates, form controls and the head are never text.
 
 Defined results: null, empty and text-free pages give an empty text; character
 references are decoded, also those without a semicolon where HTML allows that; text
-after a cut-off tag's "<" is dropped with it; equal pages give equal texts; extra
-columns are kept.
+after a cut-off tag's "<" is dropped with it; a quote that is never closed ends with its
+tag; equal pages give equal texts; extra columns are kept, but for one that is named like
+the new one.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from mnemospark.llm.arrow import arrow_map
+from mnemospark.llm.arrow import appended, arrow_map, column
 from mnemospark.llm.html_pages import labelled_page
 
 # Fixed values of the HTML standard.
@@ -46,7 +47,22 @@ CLOSES_P = BLOCKS - frozenset("body html caption legend summary tbody td tfoot t
 #: An element of the key's kind ends an open one of these, up to the given barrier.
 ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# Tags as the HTML standard cuts them: a quote inside an unquoted value is part of it. A quote that is
+# never closed begins an unquoted value, so that it hides no text. All repeats are possessive and a
+# missing end is looked for once at most for each kind of quote, so a page takes linear time.
+ATTRIBUTES = r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]++)?+)?+)*+"
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    # an instruction ends with ?>, or where the standard ends it if another tag comes first
+    r"|<\?(?:[^<]*?\?>|[^>]*+(?:>|\Z))"
+    r"|<![^>]*+(?:>|\Z)"
+    rf"|</([a-zA-Z][^\s/>]*+){ATTRIBUTES}(?:>|\Z)"
+    r"|</[^>]*+(?:>|\Z)"
+    rf"|<([a-zA-Z][^\s/>]*+)({ATTRIBUTES})(?:>|\Z)",
+    re.S,
+)
+#: A slash that closes an element at once, not the end of an unquoted value.
+CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PARTS = re.compile(r"[a-z]+")
 BUCKETS = 512
@@ -101,7 +117,7 @@ class Page:
                     if texts and not fresh and not muted:
                         texts.append((open_[-1], " ", False))
                     continue
-                if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
+                if tag in VOID or tag not in BLOCKS and m[3].endswith("/") and CLOSED.search(m[3][-2:]):
                     continue
                 if tag in UNPARSED:
                     done = re.compile(f"</{tag}(?=[\\s/>]|\\Z)[^>]*(?:>|\\Z)", re.I).search(source, at)
@@ -305,5 +321,5 @@ def extract(pages: DataFrame, source: str = "html", out: str = "__text") -> Data
                 texts = main_texts(part.column(source).to_pylist(), weights, pair)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, out])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema)
-    return arrow_map(pages.select(*kept), run, f"{fields}, `{out}` string")
+    rows = pages.select(*map(column, kept))
+    return arrow_map(rows, run, appended(rows.schema, {out: "string"}))

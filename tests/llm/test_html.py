@@ -1,6 +1,8 @@
 import html as standard
 import itertools
 import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -88,3 +90,69 @@ def test_head_without_its_end_hides_no_text():
     for start in ("<head><title>t</title><meta charset=utf-8></head><body>", "<head><title>t</title><meta charset=utf-8><body>", "<head><title>t</title><style>p {}</style>", "<head><template><div>hidden</div></template><body>"):
         (text,) = html.main_texts([f"<html>{start}{article}"], weights, pair)
         assert text.count("The river rose") == 4 and "hidden" not in text
+
+
+@pytest.mark.parametrize(
+    "start",
+    ["<p data-x=it's>", "<p title='it>", '<p title="x>', '<p title=a"b>', "<?php echo '>' ?>", "<?xml version='1.0'?>", "<!-->", "<!--->", "<!-- a -- b --!>", "</>", "</ p>", "<p a=1 =b /c>", "<img alt='>'>", '<a href="x>y"></a>', "<b/>", "<a href=/x/></a>", "<![CDATA[ x ]]>"],
+)
+def test_odd_tags_hide_and_leak_nothing(start):
+    page = f"<article><h1>Odd tags in a page</h1>{ARTICLE}{start}{ARTICLE}<p>Ut enim ad minim veniam, quis nostrud. It ends here.</p></article>"
+    one = re.sub("<[^>]+>", "", ARTICLE)
+    assert text(page) == f"Odd tags in a page\n\n{one}\n\n{one}\n\nUt enim ad minim veniam, quis nostrud. It ends here."
+
+
+def test_a_quote_runs_to_the_next_one_as_the_standard_says():
+    assert "hidden" not in text(f'<article>{ARTICLE}<p title="hidden</p><p>hidden</p><p class="x">Shown, as it stands after the quote. Yes.</p></article>')
+
+
+@pytest.mark.parametrize("unit", ["<a b=\"", "<a b='>", "<p ", "</", "<!--", "<?", "<a b=c'd", "<p title=\"x>", "< ", "<!", "&"])
+def test_broken_pages_take_linear_time(unit):
+    took = []
+    for n in (4_000, 32_000):
+        began = time.process_time()
+        html.Page(f"<article>{ARTICLE}" + unit * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * took[0] + 0.5
+
+
+class Reader(HTMLParser):
+    """Text nodes of a well-formed page with their block's number; labels say which belong to the article."""
+
+    def __init__(self):
+        super().__init__()
+        self.hidden, self.block, self.out = 0, 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("head", "button")
+        self.block += tag not in ("b", "i", "em", "strong", "a", "span", "code", "img", "input", "label", "button")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("head", "button")
+        self.handle_starttag("" if tag not in ("b", "i", "em", "strong", "a", "span", "code", "label", "button") else "b", [])
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append((self.block, data))
+
+
+def test_whole_texts_are_those_of_the_standard_library_and_the_labels():
+    """Texts and blocks by another parser, the choice by the labels: no code of the operator."""
+    same = 0
+    for seed in range(7000, 7120):
+        source, labels = labelled_page(seed)
+        reader = Reader()
+        reader.feed(source)
+        assert len(reader.out) == len(labels)
+        blocks = {}
+        for (block, data), y in zip(reader.out, labels, strict=True):
+            if y:
+                blocks.setdefault(block, []).append(data)
+        same += text(source) == "\n\n".join(" ".join("".join(b).split()) for b in blocks.values())
+    assert same >= 0.95 * 120
+
+
+def test_names_of_columns_are_kept(spark):
+    df = spark.createDataFrame([(1, "<article>" + ARTICLE + "</article>", "x", 2)], "page_id long, html string, `a.b` string, __text_ int")
+    got = html.extract(df)
+    assert got.columns == [*df.columns, "__text"] and got.first()["a.b"] == "x"
