@@ -34,8 +34,9 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,8 @@ RARITY = 1.5
 PREFIXES = (4, 5, 6, 7, 8)
 FAR = 0.5
 BLOCK = 512
+#: Groups of like examples that blocks are filled from.
+KINDS = 8
 #: Terms that a larger share of the examples holds are dense rows of a block.
 DENSE = 1 / 16
 #: Texts whose neighbours are searched together.
@@ -62,10 +65,20 @@ HELD = 300_000
 WORD = re.compile(r"\w+")
 
 
-def shared_beginnings(words: Counter) -> dict[str, int]:
+def shared_beginnings(words: Iterable[str]) -> dict[str, int]:
     """Beginnings that several different words share, with the number of words beyond the first."""
-    begun = Counter(w[:k] for w in words for k in PREFIXES if len(w) > k)
-    return {p: n - 1 for p, n in begun.items() if n > 1}
+    out: dict[str, int] = {}
+    left = list(words)
+    for k in PREFIXES:
+        # words that share a longer beginning share this one
+        left = [w for w in left if len(w) > k]
+        begun = Counter([w[:k] for w in left])
+        if len(begun) == len(left):
+            break
+        shared = {p: n - 1 for p, n in begun.items() if n > 1}
+        out |= shared
+        left = [w for w in left if w[:k] in shared]
+    return out
 
 
 def terms(text: str | None) -> set[str]:
@@ -89,8 +102,7 @@ class Space:
         known, begun = self.words, self.begun
         words = Counter(WORD.findall(text.lower()))
         out = {known[w]: n for w, n in words.items() if w in known}
-        seen = Counter([p for k in PREFIXES for w in words if len(w) > k and (p := w[:k]) in begun])
-        out.update((begun[p], n - 1) for p, n in seen.items() if n > 1)
+        out.update((begun[p], n) for p, n in shared_beginnings(words).items() if p in begun)
         return np.fromiter(out, np.int32, len(out)), np.fromiter(out.values(), np.int32, len(out))
 
 
@@ -123,6 +135,28 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def kinds(term: np.ndarray, weight: np.ndarray, of: np.ndarray, n: int, row: np.ndarray, size: int) -> np.ndarray:
+    """An order of examples in which like ones stand together: by the nearest of KINDS centres over frequent terms."""
+    x = np.zeros((n, size), np.float32)
+    some = row[term] >= 0
+    x[of[some], row[term[some]]] = weight[some]
+    x /= np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
+    # centres begin far apart: each next one is the example least like those before
+    centres, like = [], np.full(n, -1.0)
+    for _ in range(min(KINDS, n)):
+        centres.append(x[int(like.argmin())])
+        like = np.maximum(like, x @ centres[-1])
+    if not centres:
+        return np.arange(n)
+    c = np.stack(centres)
+    for _ in range(5):
+        kind = (x @ c.T).argmax(1)
+        c = np.stack([x[kind == k].sum(0) for k in range(len(c))])
+        c /= np.maximum(1e-9, np.linalg.norm(c, axis=1, keepdims=True))
+    near = x @ c.T
+    return np.lexsort((np.arange(n), -near.max(1).round(4), near.argmax(1)))
+
+
 class Index:
     """Block-max inverted index of vectors, each given as (terms, weights)."""
 
@@ -135,13 +169,8 @@ class Index:
         dense = np.flatnonzero(df > DENSE * max(1, self.n))
         self.row = np.full(size, -1, np.int64)  # of a dense term
         self.row[dense] = np.arange(len(dense))
-        # likeness: the frequent terms that an example holds, the most frequent first
         of = np.repeat(np.arange(self.n), sizes)
-        rank = dense[np.argsort(-df[dense], kind="stable")][:64]
-        holds = np.zeros((self.n, len(rank)), bool)
-        for k, t in enumerate(rank.tolist()):
-            holds[of[term == t], k] = True
-        self.order = np.lexsort(holds.T[::-1]) if len(rank) else np.arange(self.n)  # place -> example
+        self.order = kinds(term, weight, of, self.n, self.row, len(dense))  # place -> example
         place = np.empty(self.n, np.int64)
         place[self.order] = np.arange(self.n)
         self.place, at = place, place[of]
@@ -216,7 +245,8 @@ class Model:
         self.names, self.idf = names, idf
         self.ids, self.labels = [i for i, *_ in examples], np.asarray([y for _, y, *_ in examples], np.int64)
         self.example = {i: k for k, i in enumerate(self.ids)}
-        vectors = [self.vector(t, n) for *_, t, n in examples]
+        self.held = [(t, n) for *_, t, n in examples]
+        vectors = [self.vector(t, n) for t, n in self.held]
         self.neighbours = math.ceil(math.sqrt(max(1, sum(sizes))))
         self.index = Index(vectors, len(names))
         weight = [shares[k] / max(1, sizes[k]) for k in (0, 1)]
@@ -227,7 +257,25 @@ class Model:
         self.curve = logistic(votes[own], self.labels[own], np.asarray(weight)[self.labels[own]]) if len(own) else (0.0, 0.0)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "space"}
+        """What is sent to executors: the examples' terms and counts, from which they build the index themselves."""
+        kind = np.uint16 if len(self.names) < 1 << 16 else np.int32
+        sizes = np.fromiter((len(t) for t, _ in self.held), np.int32, len(self.held))
+        parts = [np.concatenate([np.empty(0, np.int32), *x]) for x in zip(*self.held, strict=True)] or [np.empty(0, np.int32)] * 2
+        packed = zlib.compress(sizes.tobytes() + parts[0].astype(kind).tobytes() + parts[1].astype(np.int32).tobytes(), 1)
+        return {k: v for k, v in self.__dict__.items() if k not in ("space", "index", "held")} | {"packed": (len(sizes), kind, packed)}
+
+    def __setstate__(self, state: dict) -> None:
+        n, kind, packed = state.pop("packed")
+        self.__dict__.update(state)
+        raw = zlib.decompress(packed)
+        sizes = np.frombuffer(raw, np.int32, n)
+        total = int(sizes.sum())
+        terms = np.frombuffer(raw, kind, total, 4 * n).astype(np.int32)
+        counts = np.frombuffer(raw[4 * n + total * np.dtype(kind).itemsize :], np.int32)
+        edges = np.cumsum(sizes)[:-1] if n else []
+        self.held = list(zip(np.split(terms, edges), np.split(counts, edges), strict=True)) if n else []
+        self.index = Index([self.vector(t, c) for t, c in self.held], len(self.names))
+        self.held = []
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.idf[terms]
