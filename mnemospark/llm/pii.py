@@ -1,22 +1,26 @@
 """Personal data: patterns, and terms that give a found entity away.
 
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers in whole
-texts. Then the corpus says which words near an entity disclose it. With N texts, df
-texts that hold a word or an entity and co texts that hold the word within WINDOW words
-of the entity, the point-wise mutual information ln(co N / (df_word df_entity)) is
-taken as a share of the entity's information content -ln(df_entity / N). The share is 1
-for a word that is never seen without the entity and near 0 for common words. Words
-seen with the entity in at least SUPPORT texts are generalised (to a mark of their kind)
-from the share GENERALISE on and removed from REMOVE on, where the entity occurs.
-
-All counts cover all texts. Only words near entities can be sanitised, so the counts of
-other words are left out early by a bit map of fixed size over hashed words; it lets
-some through and keeps none of the wanted back. Pairs of an entity and a word are summed
-before they are shuffled, and the joins on them can be split.
-
-Defined results: a null text counts as empty and has no spans; repeated rows, and rows
-with null ids, get a row each and each counts as a text; extra columns are not read;
-an entity that is in every text has no information and no terms.
+texts. Then the corpus says which terms disclose an entity. Terms are runs of at least
+three letters and digits outside of all found spans, lower-cased. With N texts, df texts
+that hold a term or an entity and co texts that hold both, anywhere in their whole texts,
+the point-wise mutual information ln(co N / (df_term df_entity)) is taken as a share of
+the entity's information content -ln(df_entity / N). The share is 1 for a term that is
+never seen without the entity and near 0 for common words. Terms seen with an entity in at
+least SUPPORT texts are generalised (to the mark of their form: NUMBER for one with a
+digit, NAME for one that begins with a capital, else WORD) from the share GENERALISE on
+and removed from REMOVE on, wherever they occur, also in texts without the entity.
+
+All counts cover all texts. Maps of fixed size over hashed entities and terms leave most
+of what can't matter out early; they let some through and keep none of the wanted back.
+Pairs of an entity and a term are summed before they are shuffled, and the joins on them
+can be split.
+
+Defined results: a null text counts as empty, has no spans and stays null where it is
+cleaned; repeated rows, and rows with null ids, get a row each and each counts as a text;
+columns of the input are kept, but for those named like the two new ones; an entity that
+is in every text has no information and no terms; of spans that overlap, the first is
+replaced.
 """
 
 from __future__ import annotations
@@ -29,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.arrow import arrow_map
+from mnemospark.llm.arrow import appended, arrow_map, column, unused
 from mnemospark.plans.lineage import cut
 
 # The kinds in their order and their patterns.
@@ -44,15 +48,17 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-WORD = re.compile(r"[^\W\d_]{3,}")
-WINDOW = 10
+#: Terms of a text outside of its spans.
+WORD = re.compile(r"[^\W_]{3,}")
 SUPPORT = 3
 GENERALISE, REMOVE = 0.75, 0.95
 SLOTS = 1 << 22
 #: Partial counts that a task holds before it passes them on.
 HELD = 200_000
 SPAN = "array<struct<kind:string,start:long,end:long>>"
-TERM = "array<struct<entity:long,term:string,starts:array<long>>>"
+TERM = "array<struct<term:string,starts:array<long>>>"
+_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+_TERM = pa.list_(pa.struct([("term", pa.string()), ("starts", pa.list_(pa.int64()))]))
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -97,126 +103,167 @@ def _entity(kind: str, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def _context(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """The words within WINDOW words of each entity of a text, outside of all spans: one row per entity and word."""
+def terms_of(text: str, spans: list[tuple[str, int, int]]) -> dict[str, list[int]]:
+    """Lower-cased terms of a text outside of the spans, with the places where they start."""
+    out: dict[str, list[int]] = {}
     if not spans:
-        return []
-    words = [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(text)]
-    covered = sorted((a, b) for _, a, b in spans)
-    starts = np.asarray([w[0] for w in words], np.int64)
-    where = np.searchsorted(np.asarray([a for a, _ in covered]), starts, side="right") - 1
-    top = np.maximum.accumulate(np.asarray([b for _, b in covered]))
-    before = np.searchsorted(np.asarray([a for a, _ in covered]), np.asarray([w[1] for w in words], np.int64), side="left")
-    free = [k for k in range(len(words)) if (where[k] < 0 or top[where[k]] <= starts[k]) and before[k] == where[k] + 1]
-    at = np.asarray([words[k][0] for k in free], np.int64)
-    near: dict[tuple[int, str], set[int]] = {}
-    for kind, a, b in spans:
-        e = _entity(kind, text[a:b])
-        i = int(np.searchsorted(at, a))
-        for k in free[max(0, i - WINDOW) : i + WINDOW]:
-            near.setdefault((e, words[k][2]), set()).add(words[k][0])
-    return [{"entity": e, "term": t, "starts": sorted(s)} for (e, t), s in near.items()]
-
-
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with __spans and __near (the words around each entity) appended; no shuffle."""
-    kept = docs.columns
+        for m in WORD.finditer(text):
+            out.setdefault(m[0].lower(), []).append(m.start())
+        return out
+    free, edges = 0, []
+    for _, a, b in sorted(spans, key=lambda s: s[1:]):
+        edges.append((free, a))
+        free = max(free, b)
+    for low, high in [*edges, (free, len(text))]:
+        # a run that a span cuts is no term
+        for m in WORD.finditer(text, low):
+            if m.start() >= high:
+                break
+            if m.end() <= high and not (m.start() and m.start() == low and text[low - 1].isalnum()):
+                out.setdefault(m[0].lower(), []).append(m.start())
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            spans = [base_spans(t or "") for t in b.column(text).to_pylist()]
-            near = [_context(t, s) if s else [] for t, s in zip(b.column(text).to_pylist(), spans, strict=True)]
-            rows = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans]
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-            term = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("starts", pa.list_(pa.int64()))]))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(rows, kind), pa.array(near, term)], [*kept, "__spans", "__near"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_map(docs, run, f"{fields}, __spans {SPAN}, __near {TERM}")
-
-
-def word_df(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """(term, df): texts that hold a word, for all ``wanted`` words (column term) and some others."""
-    slot = F.col("slot")
-    bits = (
-        wanted.select(F.crc32(F.encode("term", "UTF-8")).bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
-        .groupBy(F.shiftrightunsigned(slot, 6).alias("at"))
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
-        .collect()  # at most SLOTS / 64 rows
-    )
-    table = np.zeros(SLOTS // 64, np.int64)
-    for r in bits:
-        table[r["at"]] = r["bits"]
-    bitmap = docs.sparkSession.sparkContext.broadcast(np.unpackbits(table.view(np.uint8), bitorder="little").tobytes())
+
+def distinct_terms(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
+    if spans:
+        return set(terms_of(text, spans))
+    # lowering first is faster, but a dotted capital I grows when lowered
+    return set(WORD.findall(text.lower())) if "İ" not in text else {w.lower() for w in WORD.findall(text)}
+
+
+class Slots:
+    """A map of SLOTS bits over hashes: what was put in is in it, and some more."""
+
+    def __init__(self, hashes: DataFrame) -> None:
+        """``hashes``: one column of long values."""
+        slot = hashes.select(hashes[0].bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
+        rows = slot.groupBy(F.shiftrightunsigned("slot", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).collect()  # at most SLOTS / 64 rows
+        table = np.zeros(SLOTS // 64, np.int64)
+        for r in rows:
+            table[r["at"]] = r["bits"]
+        self.sent = hashes.sparkSession.sparkContext.broadcast(np.unpackbits(table.view(np.uint8), bitorder="little").tobytes())
+
+    def holds(self, number: int) -> bool:
+        return bool(self.sent.value[number & SLOTS - 1])
+
+
+def _term_hash(term: str) -> Column:
+    return F.crc32(F.encode(term, "UTF-8"))
+
+
+def counted(rows: DataFrame, of: object, names: tuple[str, ...], schema: str) -> DataFrame:
+    """Keys that ``of(*values)`` yields for each row, summed by task and then altogether as n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts, mask = bitmap.value, Counter(), SLOTS - 1
+        counts: Counter = Counter()
 
-        def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*counts, strict=True)) if counts else [() for _ in names]
+            out = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64() if n == "entity" else pa.string()) for n, c in zip(names, columns, strict=True)), pa.array(list(counts.values()), pa.int64())], [*names, "n"])
             counts.clear()
             return out
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    words = set(WORD.findall(t.lower())) if "İ" not in t else {w.lower() for w in WORD.findall(t)}
-                    counts.update([w for w in words if held[zlib.crc32(w.encode()) & mask]])
-                    if len(counts) > HELD:
-                        yield rows()
-        yield rows()
-
-    return arrow_map(docs.select(text), run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
-
-
-def disclosures(found: DataFrame, docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(entity, term, share) of the pairs whose share reaches ``generalise``."""
-    near = found.select(F.explode("__near").alias("x")).select("x.entity", "x.term")
-    pairs = cut(near.groupBy("entity", "term").agg(F.count("*").alias("co")).where(F.col("co") >= support), "pairs")
-    entities = found.select(F.explode(F.array_distinct(F.transform("__near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
-    n = docs.count()
-    terms = word_df(docs, pairs.select("term").distinct(), text)
-    scored = pairs.join(entities, "entity").join(terms, "term").withColumn(
-        "share", F.try_divide(F.log(F.col("co") * F.lit(float(n)) / (F.col("df") * F.col("df_entity"))), -F.log(F.col("df_entity") / F.lit(float(n))))
-    )
-    return scored.where(F.col("share") >= generalise).select("entity", "term", "share")
+            for values in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                counts.update(of(*values))
+                if len(counts) > HELD:
+                    yield flush()
+        yield flush()
+
+    return arrow_map(rows, run, schema).groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def entity_counts(docs: DataFrame, text: str) -> DataFrame:
+    """(entity, n): texts that hold each entity."""
+
+    def of(t: str | None) -> set[tuple[int]]:
+        return {(_entity(kind, t[a:b]),) for kind, a, b in base_spans(t)} if t else set()
 
+    return counted(docs.select(column(text)), of, ("entity",), "entity long, n long")
 
-def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """``docs`` with __spans (base and term spans, each with its kind) and __clean, the text without them, appended.
 
-    Texts without an entity are scanned and passed on; only the others are written and joined.
+def disclosures(docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    """(term, share) of the terms whose largest share for an entity reaches ``generalise``."""
+    entities = cut(entity_counts(docs, text).where(F.col("n") >= support).withColumnRenamed("n", "df_entity"), "entities")
+    frequent = Slots(entities.select("entity"))
+
+    def pairs_of(t: str | None) -> list[tuple[int, str]]:
+        spans = base_spans(t) if t else []
+        near = {e for kind, a, b in spans if frequent.holds(e := _entity(kind, t[a:b]))}
+        return [(e, w) for w in distinct_terms(t, spans) for e in near] if near else []
+
+    pairs = counted(docs.select(column(text)), pairs_of, ("entity", "term"), "entity long, term string, n long")
+    pairs = cut(pairs.where(F.col("n") >= support).withColumnRenamed("n", "co"), "pairs")
+    wanted = Slots(pairs.select(_term_hash("term").alias("h")))
+
+    def wanted_of(t: str | None) -> list[tuple[str]]:
+        return [(w,) for w in distinct_terms(t, base_spans(t)) if wanted.holds(zlib.crc32(w.encode()))] if t else []
+
+    terms = counted(docs.select(column(text)), wanted_of, ("term",), "term string, n long").withColumnRenamed("n", "df")
+    n = F.lit(float(docs.count()))
+    share = F.try_divide(F.log(F.col("co") * n / (F.col("df") * F.col("df_entity"))), -F.log(F.col("df_entity") / n))
+    scored = pairs.join(entities, "entity").join(terms, "term").withColumn("share", share)
+    return scored.where(F.col("share") >= generalise).groupBy("term").agg(F.max("share").alias("share"))
+
+
+def find(docs: DataFrame, text: str, spans: str, hits: str, flagged: Slots) -> DataFrame:
+    """``docs`` with its base spans and the terms that may be flagged appended; no shuffle."""
+    kept = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, near = [], []
+            for t in b.column(text).to_pylist():
+                base = base_spans(t) if t else []
+                some = {w for w in distinct_terms(t, base) if flagged.holds(zlib.crc32(w.encode()))} if t else set()
+                found.append([{"kind": k, "start": s, "end": e} for k, s, e in base])
+                near.append([{"term": w, "starts": at} for w, at in terms_of(t, base).items() if w in some] if some else [])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(found, _SPAN), pa.array(near, _TERM)], [*kept, spans, hits])
+
+    return arrow_map(docs, run, appended(docs.schema, {spans: SPAN, hits: TERM}))
+
+
+def mark(word: str) -> str:
+    """What a term is generalised to."""
+    return "[NUMBER]" if any(c.isdigit() for c in word) else "[NAME]" if word[0].isupper() else "[WORD]"
+
+
+def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, spans: str = "__spans", clean: str = "__clean") -> DataFrame:
+    """``docs`` with its spans (base and term spans, each with its kind) and the text without them appended.
+
+    Texts with nothing to hide are scanned and passed on; only the others are written and joined.
     """
-    scanned = find(docs, text)
-    found = cut(scanned.where(F.size("__spans") > 0).withColumn("__row", F.monotonically_increasing_id()), "pii")
-    flagged = disclosures(found, docs, text, support, generalise)
-    near = found.select("__row", F.explode("__near").alias("x")).select("__row", "x.entity", "x.term", "x.starts")
-    hits = (
-        near.join(flagged, ["entity", "term"])
-        .select("__row", F.explode("starts").alias("start"), F.length("term").alias("size"), "share")
-        .groupBy("__row", "start")
-        .agg(F.max("size").alias("size"), F.max("share").alias("share"))
-        .groupBy("__row")
-        .agg(F.array_sort(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", (F.col("start") + F.col("size")).alias("end"), (F.col("share") >= remove).alias("removed")))).alias("__terms"))
+    kept = [c for c in docs.columns if c not in (spans, clean)]
+    docs = docs.select(*map(column, kept))
+    flagged = cut(disclosures(docs, text, support, generalise), "terms")
+    row, hits, terms = (unused(x, docs) for x in ("__row", "__hits", "__terms"))
+    scanned = find(docs, text, spans, hits, Slots(flagged.select(_term_hash("term").alias("h"))))
+    some = (F.size(column(spans)) > 0) | (F.size(column(hits)) > 0)
+    found = cut(scanned.where(some).withColumn(row, F.monotonically_increasing_id()), "pii")
+    near = found.select(column(row).alias("row"), F.explode(column(hits)).alias("x")).select("row", "x.term", "x.starts")
+    listed = (
+        near.join(flagged, "term")
+        .select("row", F.explode("starts").alias("start"), F.length("term").alias("size"), "share")
+        .groupBy("row")
+        .agg(F.array_sort(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", (F.col("start") + F.col("size")).alias("end"), (F.col("share") >= remove).alias("removed")))).alias(terms))
+        .withColumnRenamed("row", row)
     )
-    joined = found.drop("__near").join(hits, "__row", "left").drop("__row")
-    kept = docs.columns
+    joined = found.drop(hits).join(listed, row, "left").drop(row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            clean, spans = [], []
-            for t, base, terms in zip(b.column(text).to_pylist(), b.column("__spans").to_pylist(), b.column("__terms").to_pylist(), strict=True):
-                cuts = [(s["start"], s["end"], f"[{s['kind'].upper()}]") for s in base] + [(s["start"], s["end"], "" if s["removed"] else "[TERM]") for s in terms or []]
+            cleaned, all_ = [], []
+            for t, base, own in zip(b.column(text).to_pylist(), b.column(spans).to_pylist(), b.column(terms).to_pylist(), strict=True):
+                cuts = [(s["start"], s["end"], f"[{s['kind'].upper()}]") for s in base] + [(s["start"], s["end"], "" if s["removed"] else mark(t[s["start"] : s["end"]])) for s in own or []]
                 out, at = [], 0
-                for start, end, mark in sorted(cuts):
+                for start, end, put in sorted(cuts):
                     if start >= at:
-                        out += [t[at:start], mark]
+                        out += [t[at:start], put]
                     at = max(at, end)
-                clean.append(t if not cuts else "".join([*out, t[at:]]))
-                spans.append([*base, *({k: s[k] for k in ("kind", "start", "end")} for s in terms or [])])
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(spans, kind), pa.array(clean, pa.string())], [*kept, "__spans", "__clean"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rest = scanned.where(F.size("__spans") == 0).select(*kept, "__spans", F.col(text).alias("__clean"))
-    return arrow_map(joined, run, f"{fields}, __spans {SPAN}, __clean string").unionByName(rest)
+                cleaned.append("".join([*out, t[at:]]) if cuts else t)
+                all_.append([*base, *({k: s[k] for k in ("kind", "start", "end")} for s in own or [])])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(all_, _SPAN), pa.array(cleaned, pa.string())], [*kept, spans, clean])
+
+    rest = scanned.where(~some).select(*map(column, kept), column(spans), column(text).alias(clean))
+    return arrow_map(joined, run, appended(docs.schema, {spans: SPAN, clean: "string"})).unionByName(rest)

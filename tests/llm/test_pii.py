@@ -35,52 +35,65 @@ def docs():
     for i in range(60):
         words = [rng.choice(common) for _ in range(30)]
         if i % 10 == 0:
-            words[15:15] = ["gamekeeper", "boss@castle.org", "Gamekeeper"]
+            words[15:15] = ["boss@castle.org", "Gamekeeper"]
+            words[0:0] = ["gamekeeper", "user77x"]
         if i % 15 == 1:
             words[3:3] = ["+1 (555) 010-2233"]
+        if i in (7, 10, 20, 30, 40):
+            # told by most, but not all, texts of the entity, and by one without it
+            words.append("Castellan" if i % 20 else "castellan9")
+        if i == 33:
+            words.append("user77x")
         out.append((i, " ".join(words), 5))
-    return [*out, (100, None, 5), (100, "", 5), (None, "boss@castle.org gamekeeper", 5), (101, "x" * 100_000, 5), (59, out[59][1], 5)]
+    return [*out, (100, None, 5), (100, "", 5), (None, "boss@castle.org gamekeeper", 5), (101, "x" * 100_000, 5), (59, out[59][1], 5), (102, "İİİ common boss@castle.orgtail abc1.2.3.4def", 5)]
 
 
-def brute_terms(rows):
+def brute_terms(rows, generalise=pii.GENERALISE):
     texts = [t or "" for _, t, _ in rows]
-    has = [{w.lower() for w in pii.WORD.findall(t)} for t in texts]
-    near = []
-    for t in texts:
-        spans, pairs = brute_spans(t), {}
-        words = [m for m in pii.WORD.finditer(t) if not any(a < m.end() and m.start() < b for _, a, b in spans)]
-        for kind, a, b in spans:
-            i = sum(m.start() < a for m in words)
-            for m in words[max(0, i - 10) : i + 10]:
-                pairs.setdefault((kind, t[a:b], m[0].lower()), set()).add(m.start())
-        near.append(pairs)
-    n, out = len(texts), []
-    for (_, t), pairs in zip([(i, t) for i, t, _ in rows], near, strict=True):
-        terms = set()
-        for (kind, value, w), starts in pairs.items():
-            co = sum((kind, value, w) in p for p in near)
-            df = sum(w in h for h in has)
-            de = sum(any(k[:2] == (kind, value) for k in p) for p in near)
-            if co >= 3 and math.log(co * n / (df * de)) / -math.log(de / n) >= pii.GENERALISE:
-                terms |= {("term", s, s + len(w)) for s in starts}
-        out.append(brute_spans(t or "") + sorted(terms))
-    return out
+    found = [brute_spans(t) for t in texts]
+    words = [[m for m in re.finditer(r"[^\W_]{3,}", t) if not any(a < m.end() and m.start() < b for _, a, b in s)] for t, s in zip(texts, found, strict=True)]
+    held = [{m[0].lower() for m in w} for w in words]
+    entities = [{(k, t[a:b]) for k, a, b in s} for t, s in zip(texts, found, strict=True)]
+    n, share = len(texts), {}
+    for e in set().union(*entities):
+        de = sum(e in x for x in entities)
+        for w in set().union(*(h for h, x in zip(held, entities, strict=True) if e in x)):
+            co = sum(w in h and e in x for h, x in zip(held, entities, strict=True))
+            if co >= 3 and de < n:
+                value = math.log(co * n / (sum(w in h for h in held) * de)) / -math.log(de / n)
+                share[w] = max(share.get(w, -9), value)
+    share = {w: x for w, x in share.items() if x >= generalise}
+    return [s + sorted(("term", *m.span()) for m in w if m[0].lower() in share) for s, w in zip(found, words, strict=True)], share
 
 
 def test_terms_match_brute_force(spark):
     rows = docs()
     df = spark.createDataFrame(rows, "doc_id long, text string, __near2 int").repartition(4)
+    want, share = brute_terms(rows)
+    assert {"gamekeeper", "user77x"} <= share.keys() and share["user77x"] < pii.REMOVE <= share["gamekeeper"]
     got = sorted((str(r.doc_id), r.text or "", str([(s.kind, s.start, s.end) for s in r["__spans"]])) for r in pii.sanitise(df).collect())
-    assert got == sorted((str(i), t or "", str(s)) for (i, t, _), s in zip(rows, brute_terms(rows), strict=True))
+    assert got == sorted((str(i), t or "", str(s)) for (i, t, _), s in zip(rows, want, strict=True))
 
 
 def test_clean_text(spark):
     rows = docs()
     got = {r.doc_id: r["__clean"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()}
     assert got[2] == rows[2][1]
-    assert "castle" not in got[0] and "[EMAIL]" in got[0] and "amekeeper" not in got[0]
+    assert "castle.org" not in got[0] and "[EMAIL]" in got[0] and "amekeeper" not in got[0]
     assert "[PHONE]" in got[1]
+    # also where the entity itself doesn't stand
+    assert "user77x" not in got[33] and "[NUMBER]" in got[33]
     assert pii.sanitise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert [pii.mark(w) for w in ("abc", "Abc", "Ab1")] == ["[WORD]", "[NAME]", "[NUMBER]"]
+
+
+def test_names_of_columns_are_kept(spark):
+    rows = [(i, "write to me@here.org or askforjohn", "s", 1, 2, 3, 4, 5) for i in range(4)] + [(9, "plain", "s", 1, 2, 3, 4, 5)] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string, __spans string, __near int, __clean int, __row int, __terms int, `a.b` int")
+    got = pii.sanitise(df, spans="s", clean="c")
+    assert got.columns == [*df.columns, "s", "c"]
+    assert sorted({(r.c, r["__spans"], r["__near"], r["__clean"], r["__row"], r["__terms"], r["a.b"]) for r in got.collect()}) == [("plain", "s", 1, 2, 3, 4, 5), ("write to [EMAIL] or ", "s", 1, 2, 3, 4, 5)] or "write" not in got.first().c
+    assert pii.sanitise(df).columns == ["doc_id", "text", "__near", "__row", "__terms", "a.b", "__spans", "__clean"]
 
 
 def test_query_digest(spark, tmp_path):
