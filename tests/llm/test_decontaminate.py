@@ -74,10 +74,10 @@ def test_empty_tables(spark):
 
 
 def test_stage_keeps_clean_rows(spark):
-    d = spark.createDataFrame([(1, "x a b c d e f g y", "p"), (2, "all clean here and there", "q"), (None, None, "r"), (2, "all clean here and there", "q")], "doc_id long, text string, source string")
+    d = spark.createDataFrame([(1, "x a b c d e f g y", "p", 1, 7), (2, "all clean here and there", "q", 1, 8), (None, None, "r", 1, 9), (2, "all clean here and there", "q", 1, 8)], "doc_id long, text string, `a.b` string, __key int, doc_key int")
     b = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     kept = decontaminate.without_leaks(d, b)
-    assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "2", "None"]
+    assert kept.columns == d.columns and sorted((str(r.doc_id), r["__key"], r.doc_key) for r in kept.collect()) == [("2", 1, 8), ("2", 1, 8), ("None", 1, 9)]
 
 
 def test_only_built_in_functions(spark):
@@ -90,3 +90,19 @@ def test_only_built_in_functions(spark):
 def test_blocks_cover_all_bits():
     masks = [m & (2**64 - 1) for m in decontaminate._masks(24)]
     assert sum(masks) == 2**64 - 1 and len(masks) == 25
+
+
+def test_fingerprints_in_lanes(spark):
+    rng = random.Random(5)
+    for most in (200, 300, 70_000):
+        rows = [([rng.getrandbits(64) - (1 << 63) for _ in range(n)],) for n in (1, 2, 3, 50, 255 if most > 255 else 199, 300 if most > 300 else 4)]
+        got = decontaminate._with_print(spark.createDataFrame(rows, "h array<long>"), "h", most, "p").collect()
+        for r in got:
+            want = sum((1 << b) for b in range(64) if 2 * sum((x >> b) & 1 for x in r.h) > len(r.h))
+            assert r.p & (2**64 - 1) == want
+
+
+def test_joins_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", -1)
+    docs, items = [(1, "x a b c d e f g y"), (2, "a b c d e f q")], [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "p q")]
+    assert got(spark, docs, items) == brute(docs, items)
