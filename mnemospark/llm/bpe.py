@@ -37,10 +37,9 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 from tokenizers import Tokenizer
 
-from mnemospark.llm.arrow import arrow_map
+from mnemospark.llm.arrow import appended, arrow_map, column
 from mnemospark.plans.lineage import cut
 
 #: Words compiled into the lexicon.
@@ -50,7 +49,7 @@ COUNTERS = 1 << 16
 #: Pieces, and words, whose ids a worker remembers at most, and characters of texts that are encoded together.
 KNOWN, TOGETHER = 300_000, 3_500_000
 #: The same where texts are decoded as well; a worker may wait with what it holds while other stages run.
-KNOWN_LESS, TOGETHER_LESS = 150_000, 1_000_000
+KNOWN_LESS, TOGETHER_LESS = 100_000, 600_000
 #: Words longer than this are merged with a heap.
 LONG = 48
 #: White space by Unicode; str.split() has four separators more.
@@ -544,7 +543,7 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         for b in batches:
             for t in b.column(0).to_pylist():
                 pieces.update((t or "").lower().split())
-                if len(pieces) > 4 * COUNTERS:
+                if len(pieces) > 2 * COUNTERS:
                     pieces = _reduce(pieces, COUNTERS)
         counts: Counter = Counter()
         for piece, n in pieces.items():
@@ -554,7 +553,7 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         while part := list(islice(rows, 1 << 14)):
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part]), pa.array([n for _, n in part])], ["word", "n"])
 
-    return arrow_map(docs.select(text), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return arrow_map(docs.select(column(text)), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def deliver_lexicon(docs: DataFrame, path: str, text: str = "text", size: int = LEXICON) -> str:
@@ -578,14 +577,16 @@ def deliver_lexicon(docs: DataFrame, path: str, text: str = "text", size: int =
     return name
 
 
-def encode_decode(docs: DataFrame, path: str, text: str = "text", full: bool = True) -> DataFrame:
-    """``docs`` with n_tokens, ids_sha256 and decoded_sha256 appended, and with ``full`` the ids and decoded text."""
-    added = ["n_tokens", "ids_sha256", "decoded_sha256"] + (["ids", "decoded"] if full else [])
+def encode_decode(docs: DataFrame, path: str, text: str = "text", more: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """``docs`` with n_tokens, ids_sha256 and decoded_sha256 appended, and the ids and decoded text if ``more`` names them.
+
+    The new columns replace those of the same names.
+    """
+    kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | {c: {"ids": "array<int>", "decoded": "string"}[c] for c in more}
+    added = list(kinds)
     kept = [c for c in docs.columns if c not in added]
     lexicon = deliver_lexicon(docs, path, text)
-    schema = docs.select(*kept).schema
-    for name, kind in zip(added, (LongType(), StringType(), StringType(), ArrayType(IntegerType()), StringType()), strict=False):
-        schema = schema.add(name, kind)
+    rows = docs.select(*map(column, kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, lexicon)
@@ -598,14 +599,16 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", full: bool = T
                 ids = np.frombuffer(raw, "<u2").tolist()
                 decoded = decode(ids, tokens)
                 digests.append((hashlib.sha256(" ".join(map(_DECIMAL.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-                if full:
+                if "decoded" in more:
                     texts.append(decoded)
             sizes = np.fromiter((len(r) // 2 for r in raws), np.int64, len(raws))
             new = [pa.array(sizes), pa.array([x for x, _ in digests], pa.string()), pa.array([y for _, y in digests], pa.string())]
-            if full:
-                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                values = np.frombuffer(b"".join(raws), "<u2").astype(np.int32)
-                new += [pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.array(texts, pa.string())]
+            for c in more:
+                if c == "ids":
+                    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                    new.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raws), "<u2").astype(np.int32))))
+                else:
+                    new.append(pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *new], [*kept, *added])
 
-    return arrow_map(docs.select(*kept), run, schema)
+    return arrow_map(rows, run, appended(rows.schema, kinds))

@@ -37,7 +37,7 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of their decoded text."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode_decode(docs, VOCABULARY, full=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode_decode(docs, VOCABULARY, more=()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 @_query

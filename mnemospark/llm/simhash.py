@@ -27,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.llm.arrow import arrow_map
+from mnemospark.llm.arrow import appended, arrow_map, column, unused
 from mnemospark.operators.components import connected_components
-from mnemospark.plans.lineage import cut
+from mnemospark.plans.lineage import cut, forget
 
 SEED = 42
 #: Words of a shingle, and similarity, of the filter that keeps one of each group.
@@ -84,15 +84,15 @@ def fingerprints_of(texts: list[str | None], width: int) -> np.ndarray:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 3, out: str = "simhash") -> DataFrame:
     """``docs`` with a signed 64-bit fingerprint column appended; no shuffle."""
-    schema = docs.drop(out).schema.add(out, "long")
     kept = [c for c in docs.columns if c != out]
+    rows = docs.select(*map(column, kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = fingerprints_of(b.column(text).to_pylist(), width).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(fp)], [*kept, out])
 
-    return arrow_map(docs.select(*kept), run, schema)
+    return arrow_map(rows, run, appended(rows.schema, {out: "long"}))
 
 
 _POWERS = 3 ** np.arange(SEGMENTS, dtype=np.int64)
@@ -196,7 +196,7 @@ def near_links(fps: DataFrame, fp: str = "simhash", radius: int = RADIUS) -> Dat
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = RADIUS) -> DataFrame:
     """One row per document: (doc_id, simhash, component_id), the smallest doc_id that it reaches."""
-    marked = cut(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", width).select("doc_id", "simhash"), "simhash")
+    marked = cut(with_fingerprint(docs.select(column(doc_id).alias("doc_id"), column(text).alias("text")), "text", width).select("doc_id", "simhash"), "simhash")
     return _grouped(marked, radius)
 
 
@@ -238,7 +238,7 @@ def first_tokens(text: str | None, least: float) -> tuple[int, np.ndarray]:
     return n, np.partition(tokens, size - 1)[:size] if size else tokens[:0]
 
 
-def candidate_tokens(rows: DataFrame, least: float = SIMILARITY, key: str = "__row", text: str = "text") -> DataFrame:
+def candidate_tokens(rows: DataFrame, least: float = SIMILARITY, key: str = "row", text: str = "text") -> DataFrame:
     """(token, row, n, weight): any two rows of at least ``least`` similarity (0.5 or more) have a token in common.
 
     Two texts of n and m tokens that are so similar share at least least * max(n, m) of them,
@@ -281,7 +281,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame
     return arrow_map(full.select("root_a", "root_b", "ta", "tb"), compare, "a long, b long")
 
 
-def similar_roots(rows: DataFrame, roots: DataFrame, least: float = SIMILARITY, key: str = "__row", text: str = "text") -> DataFrame:
+def similar_roots(rows: DataFrame, roots: DataFrame, least: float = SIMILARITY, key: str = "row", text: str = "text") -> DataFrame:
     """(root, to): where the components ``roots`` (row, root) of ``rows`` go by the pairs of at least ``least`` similarity.
 
     The result is that of comparing all pairs. Pairs within a component need no comparison,
@@ -315,7 +315,9 @@ def similar_roots(rows: DataFrame, roots: DataFrame, least: float = SIMILARITY,
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         moved = connected_components(similar_pairs(pairs, texts, least)).toDF("root", "to")
-        labels = cut(labels.join(moved, "root", "left").select("row", "was", F.coalesce("to", "root").alias("root")), "labels")
+        labels, old = cut(labels.join(moved, "root", "left").select("row", "was", F.coalesce("to", "root").alias("root")), "labels"), labels
+        for done in (placed, met, old):
+            forget(done)
         if last:
             break
     return labels.select(F.col("was").alias("root"), F.col("root").alias("to")).distinct()
@@ -326,13 +328,17 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
 
     Two texts are near copies if their fingerprints over shingles of WIDTH words are within
     ``radius`` bits, or if they are at least ``least`` similar; groups are what such links
-    connect, over all different texts. Columns and texts stay as they are.
+    connect, over all different texts. Columns, whatever their names, and texts stay as they
+    are. Null, blank and equal texts are copies of one another; of rows that share the
+    smallest id one stays.
     """
-    marked = cut(with_fingerprint(docs, text, WIDTH, "__fp").withColumn("__row", F.monotonically_increasing_id()), "near")
-    rows = marked.select(F.col("__row").alias("doc_id"), F.col("__fp").alias("simhash"), F.col(doc_id).alias("id"))
+    fp, row = unused("__fp", docs), unused("__row", docs)
+    marked = cut(with_fingerprint(docs, text, WIDTH, fp).withColumn(row, F.monotonically_increasing_id()), "near")
+    rows = marked.select(column(row).alias("doc_id"), column(fp).alias("simhash"), column(doc_id).alias("id"))
     grouped = cut(_grouped(rows, radius).select(F.col("doc_id").alias("row"), "id", F.col("component_id").alias("root")), "groups")
-    once = marked.groupBy(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).agg(F.min("__row").alias("__row")).select("__row")
-    moved = similar_roots(marked.join(once, "__row", "left_semi").select("__row", text), grouped.select("row", "root"), least, text=text)
+    texts = marked.select(column(row).alias("row"), column(text).alias("text"))
+    once = texts.groupBy(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).agg(F.min("row").alias("row")).select("row")
+    moved = similar_roots(texts.join(once, "row", "left_semi"), grouped.select("row", "root"), least)
     placed = grouped.join(moved, "root", "left").withColumn("root", F.coalesce("to", "root"))
-    keep = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("best")).select(F.col("best.row").alias("__row"))
-    return marked.join(keep, "__row", "left_semi").select(*docs.columns)
+    keep = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("best")).select(F.col("best.row").alias(row))
+    return marked.join(keep, row, "left_semi").select(*map(column, docs.columns))

@@ -36,3 +36,35 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert got.columns == docs.columns and got.count() == 1
         assert stage(spark, docs.limit(0), d).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_copies", "decontamination", "personal_data", "encoding"]
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Clashing and dotted names, null ids and texts, very long texts, ties and repeated rows."""
+    rng = random.Random(7)
+    d = str(tmp_path)
+    names = ["__score", "__evidence", "__fp", "__row", "__key", "__spans", "__near", "__clean", "__terms", "a.b", "ids", "n_tokens", "row", "root", "window"]
+    words = [f"w{i}" for i in range(3000)]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(40))) for i in range(30)]
+    texts += [(50, texts[0][1]), (50, texts[0][1]), (0, texts[0][1]), (None, texts[1][1]), (60, None), (61, ""), (None, None), (70, " ".join(rng.choice(words) for _ in range(150_000)) + " me@here.org")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *range(len(names))) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names)).repartition(3)
+    spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(30)] + [(3, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(d + "/labels.parquet")
+    spark.createDataFrame([(1, texts[5][1]), (None, None), (2, "")], "item_id long, text string").write.parquet(d + "/benchmark.parquet")
+    docs.write.parquet(d + "/documents.parquet")
+    read = spark.read.parquet(d + "/documents.parquet")
+    key = lambda r: (str(r.doc_id), r.text or "")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, read, d)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert all([r[n] for n in names] == list(range(len(names))) for r in rows), name
+        left = sorted(map(key, rows))
+        if name == "near_copies":
+            assert left == sorted([(str(i), t) for i, t in texts[:30]] + [("60", ""), ("70", texts[-1][1])])
+        elif name == "decontamination":
+            assert left == sorted((str(i), t or "") for i, t in texts if t != texts[5][1])
+        elif name == "personal_data":
+            assert left == sorted((str(i), (t or "").replace("me@here.org", "[EMAIL]")) for i, t in texts)
+    last = corpus_pipeline.encode(spark, read, d)
+    assert set(docs.columns) <= set(last.columns) and sorted(map(key, last.collect())) == sorted((str(i), t or "") for i, t in texts)
+    out = corpus_pipeline.run(spark, d).collect()
+    assert {r.doc_id for r in out} <= {*range(30), 60, 70, None} and all(r.n_tokens == len(r.ids) for r in out)

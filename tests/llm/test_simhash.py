@@ -191,3 +191,11 @@ def test_rounds_without_all_pairs_agree(spark, monkeypatch):
     base = [rng.choice(vocab) for _ in range(200)]
     rows = [(i, edited(rng, vocab, base, every)) for i, every in enumerate([25, 40, 50, 60, 80] * 8)]
     assert kept(spark, rows) == brute_kept(rows)
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(2, "a b c d e f g h i j k l m n o p q r s t", 1, 2, 3, 4), (1, "a b c d e f g h i j k l m n o p q r s t", 5, 6, 7, 8), (None, "a b c d e f g h i j k l m n o p q r s t", 0, 0, 0, 0), (3, "x " * 40_000, 9, 9, 9, 9), (4, None, 1, 1, 1, 1), (5, " ", 2, 2, 2, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __fp int, __row int, `a.b` int, row int")
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id, r["__fp"], r["__row"], r["a.b"], r.row) for r in got.collect()) == [(1, 5, 6, 7, 8), (3, 9, 9, 9, 9), (4, 1, 1, 1, 1)]
