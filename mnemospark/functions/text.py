@@ -7,15 +7,24 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words and patterns of the rules below.
-GREETINGS = r"^(你好|您好|嗨|hi|hello|hey|早上好|晚上好|谢谢|再见|what|how|who|when|where|no|yes)"
-COMPLEX_WORDS = ("分析", "比较", "解释", "为什么", "如何", "预测", "推理", "总结", "analyze", "compare", "explain", "why", "how", "predict", "summarize", "reason")
+# Words and patterns of the rules below, and sensitive keys.
+SIMPLE_STARTS = (
+    r"^你好|^hi|^hello|^hey",
+    r"^谢谢|^thanks|^thank you",
+    r"^再见|^bye|^goodbye",
+    r"^是的|^no|^没错|^正确",
+)
+COMPLEX_WORDS = (
+    "分析", "比较", "评估", "解释", "总结", "推理", "论证",
+    "analyze", "compare", "evaluate", "explain", "summarize", "reasoning",
+    "为什么", "how", "why", "what if", "如果",
+)
 LEVELS = {
-    "RESTRICTED": ("password", "secret", "credential", "token", "ssn"),
-    "CONFIDENTIAL": ("medical", "salary", "bank", "credit", "health"),
-    "INTERNAL": ("email", "phone", "address", "birthday"),
+    "RESTRICTED": (r"\b\d{18}\b", r"\b\d{16,19}\b", r"password|secret|token|key"),
+    "CONFIDENTIAL": (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", r"\b1[3-9]\d{9}\b", r"location|address|coordinate"),
+    "INTERNAL": (r"entity|relation|memory|note",),
 }
-SENSITIVE_KEYS = ("password", "token", "secret", "key", "credential")
+SENSITIVE_KEYS = ("password", "token", "secret", "credit_card", "ssn", "phone", "email", "location", "address")
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
@@ -27,12 +36,13 @@ def language(text: Column, share: float = 0.3) -> Column:
 
 
 def complexity(text: Column) -> Column:
-    """SIMPLE, MODERATE or COMPLEX by greeting, length, question words and marks."""
-    score = reduce(lambda a, b: a + b, (F.lower(text).contains(w).cast("int") for w in COMPLEX_WORDS))
-    marks = F.regexp_count(text, F.lit("[?？,，]"))
+    """SIMPLE, MODERATE or COMPLEX by how a text starts, its length, telling words and question marks or commas."""
+    low = F.lower(text)
+    score = reduce(lambda a, b: a + b, (low.contains(w).cast("int") for w in COMPLEX_WORDS))
+    marks = F.regexp_count(text, F.lit("[?？,]"))
     n = F.length(text)
     return (
-        F.when(F.lower(text).rlike(GREETINGS) | (n < 20), "SIMPLE")
+        F.when(low.rlike("|".join(SIMPLE_STARTS)) | (n < 20), "SIMPLE")
         .when((score >= 2) | (marks >= 2) | (n > 200), "COMPLEX")
         .when((score >= 1) | (n > 100), "MODERATE")
         .otherwise("SIMPLE")
@@ -40,10 +50,10 @@ def complexity(text: Column) -> Column:
 
 
 def classification(text: Column) -> Column:
-    """The first protection level whose words occur, else PUBLIC."""
+    """The first protection level one of whose patterns occurs, else PUBLIC."""
     out = F.when(F.lit(False), "")
-    for level, words in LEVELS.items():
-        out = out.when(F.lower(text).rlike("|".join(words)), level)
+    for level, patterns in LEVELS.items():
+        out = out.when(F.lower(text).rlike("|".join(patterns)), level)
     return out.otherwise("PUBLIC")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.plans.lineage import cut
+
 
 def contains_in_order(sequence: Column, pattern: list[Column]) -> Column:
     """Whether the pattern's items occur in a sequence in order, gaps allowed."""
@@ -18,21 +20,20 @@ def frequent_sequences(sequences: DataFrame, least: int, most_length: int = 3, s
 
     Items of a pattern ascend in their order of introduction (by name here), as only such
     pairs are joined; confidence divides by the count of the pattern less its last item.
-    Candidates of a level are few; the sequences stay where they are.
     """
     total = sequences.agg(F.count("*").alias("total"))
-    level = sequences.select(F.explode(F.array_distinct(seq)).alias("item")).groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    level = level.select(F.array("item").alias("pattern"), "n")
+    # a row for each item that a sequence holds: candidates meet sequences by their last item
+    held = cut(sequences.select(F.col(seq).alias("seq"), F.explode(F.array_distinct(seq)).alias("last")), "held")
+    level = cut(held.groupBy("last").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.array("last").alias("pattern"), "n"), "level")
     out = None
     for length in range(2, most_length + 1):
         head = F.slice("pattern", 1, length - 2) if length > 2 else F.array().cast("array<string>")
         a = level.select(head.alias("head"), F.element_at("pattern", -1).alias("x"), F.col("n").alias("before"))
         b = level.select(head.alias("head"), F.element_at("pattern", -1).alias("y"))
-        cands = a.join(b, "head").where("x < y").select(F.concat("head", F.array("x", "y")).alias("pattern"), "before")
-        # sequences that hold the last two items first, by an equi-join on each
-        pairs = sequences.select(seq).where(F.size(seq) >= length)
-        test = contains_in_order(F.col(seq), [F.col("pattern")[i] for i in range(length)])
-        level = pairs.join(F.broadcast(cands), F.array_contains(F.col(seq), F.col("pattern")[0]) & test).groupBy("pattern", "before").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+        cands = a.join(b, "head").where("x < y").select(F.concat("head", F.array("x", "y")).alias("pattern"), "before", F.col("y").alias("last"))
+        test = contains_in_order(F.col("seq"), [F.col("pattern")[i] for i in range(length)])
+        met = held.where(F.size("seq") >= length).join(cands, "last").where(test)
+        level = cut(met.groupBy("pattern", "before").agg(F.count("*").alias("n")).where(F.col("n") >= least), "level")
         found = level.crossJoin(F.broadcast(total)).select(F.array_join("pattern", ">").alias("pattern"), "n", (F.col("n") / F.col("total")).alias("support"), (F.col("n") / F.col("before")).alias("confidence"))
         out = found if out is None else out.unionByName(found)
         level = level.select("pattern", "n")

@@ -14,18 +14,23 @@ def similarities(ratings: DataFrame, by: str, over: str, metric: str = "cosine")
     """(a, b, sim) of pairs of ``by`` that share an ``over``, sim > 0; both directions.
 
     Cosine divides by whole norms; Pearson uses the shared keys alone, two at least.
-    Pairs are summed by key, so each shared item adds one row per pair and no more.
+    Each pair is summed once, the lesser key first, and turned around afterwards.
     """
     x = ratings.select(F.col(by).alias("a"), F.col(over).alias("o"), F.col("rating").alias("x"))
     y = ratings.select(F.col(by).alias("b"), F.col(over).alias("o"), F.col("rating").alias("y"))
-    pairs = x.join(y, "o").where("a <> b").groupBy("a", "b")
+    pairs = x.join(y, "o").where("a < b").groupBy("a", "b")
     if metric == "pearson":
         found = pairs.agg(F.corr("x", "y").alias("sim"), F.count("*").alias("n")).where(F.col("n") >= 2)
-        return found.select("a", "b", F.when(F.isnan("sim"), 0.0).otherwise(F.coalesce("sim", F.lit(0.0))).alias("sim")).where("sim > 0")
+        return _both_ways(found.select("a", "b", F.when(F.isnan("sim"), 0.0).otherwise(F.coalesce("sim", F.lit(0.0))).alias("sim")).where("sim > 0"))
     norms = ratings.groupBy(F.col(by).alias("k")).agg(F.sqrt(F.sum(F.col("rating") * F.col("rating"))).alias("norm"))
     na, nb = norms.select(F.col("k").alias("a"), F.col("norm").alias("na")), norms.select(F.col("k").alias("b"), F.col("norm").alias("nb"))
     found = pairs.agg(F.sum(F.col("x") * F.col("y")).alias("dot")).join(na, "a").join(nb, "b")
-    return found.select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("sim")).where("sim > 0")
+    return _both_ways(found.select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("sim")).where("sim > 0"))
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.select(F.explode(ends).alias("p"), "sim").select("p.a", "p.b", "sim")
 
 
 def user_based(ratings: DataFrame, neighbours: int = 20, metric: str = "cosine", digits: int = 9) -> DataFrame:

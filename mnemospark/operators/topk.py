@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mnemospark.functions.vector import cosine, doubles, euclidean
+from mnemospark.plans.lineage import cut
 
 
 def literal(vector: list[float]) -> Column:
@@ -31,12 +32,12 @@ def bm25(docs: DataFrame, words: list[str], key: str = "doc_id", text: str = "te
     Only the query's words are counted, in place; the corpus gives two scalars and one
     document frequency per query word, so no posting is shuffled.
     """
-    tokens = F.split(F.lower(F.col(text)), "[^a-z0-9]+")
-
     def count(word: str) -> Column:
-        return F.size(F.filter(tokens, lambda t: t == word))
+        return F.size(F.filter("__t", lambda t: t == word))
 
-    rows = docs.select(key, F.size(tokens).alias("__n"), *(count(w).alias(f"__{i}") for i, w in enumerate(words)))
+    # texts are split once; the narrow counts are written, as both the statistics and the scores read them
+    split = docs.select(key, F.split(F.lower(F.col(text)), "[^a-z0-9]+").alias("__t"))
+    rows = cut(split.select(key, F.size("__t").alias("__n"), *(count(w).alias(f"__{i}") for i, w in enumerate(words))), "counts")
     stats = rows.agg(F.count("*").alias("__docs"), F.avg("__n").alias("__mean"), *(F.count_if(F.col(f"__{i}") > 0).alias(f"__df{i}") for i in range(len(words))))
     score = F.lit(0.0)
     for i in range(len(words)):

@@ -312,9 +312,9 @@ def co_located_events(spark, d):
     return p.select(F.col("memory_id").alias("a"), F.col("other_memory_id").alias("b"), metres.alias("metres")).where("metres <= 1200").withColumn("metres", F.round("metres", 2))
 
 
-@query("tag_semi_join", "SELECT vec_id FROM embeddings WHERE label IN (SELECT o_orderkey % 50 FROM orders WHERE o_orderstatus = 'F' AND o_orderkey < 40)")
+@query("tag_semi_join", "SELECT vec_id FROM embeddings WHERE label IN (SELECT o_orderkey % 50 FROM orders WHERE o_orderstatus = 'F')")
 def tag_semi_join(spark, d):
-    tags = table(spark, d, "orders").where("o_orderstatus = 'F' and o_orderkey < 40").select((F.col("o_orderkey") % 50).alias("label"))
+    tags = table(spark, d, "orders").where("o_orderstatus = 'F'").select((F.col("o_orderkey") % 50).alias("label"))
     return table(spark, d, "embeddings").join(tags, "label", "left_semi").select("vec_id")
 
 

@@ -50,9 +50,9 @@ def vector_pairs_per_label(spark, d):
     return v.join(first, "label").where("vec_id <> b").select("label", F.col("vec_id").alias("a"), "b", F.round(cosine(F.col("e"), F.col("g")), 5).alias("score"))
 
 
-@query("find_similar_ranked", f"WITH {_V}, s AS (SELECT vec_id, round(list_dot_product(e, {_P}), 5) AS score FROM v WHERE vec_id % 3 = 0 ORDER BY score DESC, vec_id LIMIT 15) SELECT vec_id, score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s")
+@query("find_similar_ranked", f"WITH {_V}, s AS (SELECT vec_id, round(list_dot_product(e, {_P}), 5) AS score FROM v ORDER BY score DESC, vec_id LIMIT 15) SELECT vec_id, score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s")
 def find_similar_ranked(spark, d):
-    v = table(spark, d, "embeddings").where("vec_id % 3 = 0")
+    v = table(spark, d, "embeddings")
     s = v.select("vec_id", F.round(dot(doubles("embedding"), topk.literal(PROBE)), 5).alias("score")).orderBy(F.desc("score"), "vec_id").limit(15)
     return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))
 
@@ -124,16 +124,16 @@ def vector_magnitudes(spark, d):
 
 @query("fused_recall", f"""
 WITH {_V}, s AS (SELECT vec_id AS id, 0.5 * round(list_cosine_similarity(e, {_P}), 6) AS w FROM v),
-t AS (SELECT event_id AS id, 0.3 AS w FROM events WHERE ts < '2024-01-02'), c AS (SELECT event_id AS id, 0.2 AS w FROM events WHERE event_type = 'purchase' AND event_id < 500),
+t AS (SELECT event_id AS id, 0.3 AS w FROM events WHERE ts < '2024-01-02'), c AS (SELECT event_id AS id, 0.2 AS w FROM events WHERE event_type = 'purchase'),
 u AS (SELECT * FROM s UNION ALL SELECT * FROM t UNION ALL SELECT * FROM c)
-SELECT id, round(sum(w), 6) AS score FROM u GROUP BY 1 ORDER BY score DESC, id LIMIT 20""")
+SELECT id, round(sum(w), 7) AS score FROM u GROUP BY 1 ORDER BY score DESC, id LIMIT 20""")
 def fused_recall(spark, d):
     """Semantic, temporal and concept recall, weighed and summed."""
     v, e = table(spark, d, "embeddings"), table(spark, d, "events")
     s = v.select(F.col("vec_id").alias("id"), (F.round(cosine(doubles("embedding"), topk.literal(PROBE)), 6) * 0.5).alias("w"))
     t = e.where(F.col("ts") < F.lit("2024-01-02").cast("timestamp_ntz")).select(F.col("event_id").alias("id"), F.lit(0.3).alias("w"))
-    c = e.where("event_type = 'purchase' and event_id < 500").select(F.col("event_id").alias("id"), F.lit(0.2).alias("w"))
-    return s.unionByName(t).unionByName(c).groupBy("id").agg(F.round(F.sum("w"), 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
+    c = e.where("event_type = 'purchase'").select(F.col("event_id").alias("id"), F.lit(0.2).alias("w"))
+    return s.unionByName(t).unionByName(c).groupBy("id").agg(F.round(F.sum("w"), 7).alias("score")).orderBy(F.desc("score"), "id").limit(20)
 
 
 @query("embedding_clusters", f"WITH {_V} SELECT label, count(*) AS n, min(vec_id) AS first_id, max(vec_id) AS last_id FROM v GROUP BY 1")

@@ -9,14 +9,14 @@ from mnemospark.functions.time import relative_day
 from mnemospark.operators import mentions
 from mnemospark.registry import query, table
 
-# Five notes of one person, for rules on Chinese text.
+#: Notes of one person, for rules on Chinese text.
 NOTES = [
-    (1, "今天早晨8点在星巴克和中伟讨论项目方案，喝了拿铁咖啡", "2024-01-15T08:00:00", 39.9042, 116.4074),
-    (2, "下午3点去海淀医院看牙医，预约了李医生", "2024-01-15T15:00:00", 39.96, 116.30),
-    (3, "晚上和女朋友在海底捞吃火锅，庆祝纪念日", "2024-01-15T19:30:00", 39.915, 116.415),
-    (4, "昨天在健身房锻炼了1小时，做了深蹲和卧推", "2024-01-14T18:00:00", 39.92, 116.40),
-    (5, "周三上午在公司参加全员会议，讨论了Q4目标", "2024-01-10T10:00:00", 39.93, 116.42),
-    (6, "张三和李四去星巴克喝咖啡", "2024-01-09T10:00:00", 39.93, 116.42),
+    (1, "早上9点和王小明在华为大厦开了例会，讨论新的预算", "2024-01-15T08:00:00", 39.9042, 116.4074),
+    (2, "下午4点陪妈妈去协和医院，见了陈教授", "2024-01-15T15:00:00", 39.96, 116.30),
+    (3, "晚上跟同事去看电影，地铁上遇到林老师", "2024-01-15T19:30:00", 39.915, 116.415),
+    (4, "昨天跑步5公里，在公园门口碰见Alice", "2024-01-14T18:00:00", 39.92, 116.40),
+    (5, "2024年1月10日出差到上海，住在江边酒店", "2024-01-10T10:00:00", 39.93, 116.42),
+    (6, "周五约了赵敏女士谈合同，电话13912345678", "2024-01-09T10:00:00", 39.93, 116.42),
 ]
 _NOTES = "notes(id, text, stamp, lat, lon) AS (VALUES " + ", ".join(f"({i}, '{t}', '{s}', {a}::DOUBLE, {o}::DOUBLE)" for i, t, s, a, o in NOTES) + ")"
 
@@ -40,15 +40,22 @@ def anonymize_ids(spark, d):
     return table(spark, d, "customer").select("c_custkey", tx.anonymous(F.col("c_name")).alias("token"))
 
 
-@query("classify_documents", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'password|secret|credential|token|ssn') THEN 'RESTRICTED' WHEN regexp_matches(lower(text), 'medical|salary|bank|credit|health') THEN 'CONFIDENTIAL' WHEN regexp_matches(lower(text), 'email|phone|address|birthday') THEN 'INTERNAL' ELSE 'PUBLIC' END AS level FROM documents WHERE text IS NOT NULL")
+_LEVEL = " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(p)}') THEN '{k}'" for k, p in tx.LEVELS.items())
+
+
+@query("classify_documents", f"SELECT doc_id, CASE {_LEVEL} ELSE 'PUBLIC' END AS level FROM documents WHERE text IS NOT NULL")
 def classify_documents(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", tx.classification(F.col("text")).alias("level"))
 
 
-@query("redact_map", "SELECT event_id, event_type AS kind, '***REDACTED***' AS user_token FROM events WHERE event_id < 200")
+_KEYS = ("Kind", "access_token", "Home_Address", "location", "credential")
+
+
+@query("redact_map", "SELECT event_id, event_type AS kind, '***REDACTED***' AS access_token, '***REDACTED***' AS home_address, '***REDACTED***' AS location, CAST(user_id AS VARCHAR) AS credential FROM events")
 def redact_map(spark, d):
-    m = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("user_token"), F.col("user_id").cast("string"))
-    return table(spark, d, "events").where("event_id < 200").select("event_id", tx.redacted(m).alias("m")).select("event_id", F.col("m")["kind"].alias("kind"), F.col("m")["user_token"].alias("user_token"))
+    values = (F.col("event_type"), F.col("user_id").cast("string"), F.col("event_type"), F.col("event_type"), F.col("user_id").cast("string"))
+    m = F.create_map(*(x for k, v in zip(_KEYS, values, strict=True) for x in (F.lit(k), v)))
+    return table(spark, d, "events").select("event_id", tx.redacted(m).alias("m")).select("event_id", *(F.col("m")[k].alias(k.lower()) for k in _KEYS))
 
 
 @query("language_detect", f"WITH {_NOTES}, t AS (SELECT CAST(id AS BIGINT) AS id, text FROM notes UNION ALL SELECT 1000 + doc_id, text FROM documents WHERE text IS NOT NULL) SELECT id, CASE WHEN len(regexp_extract_all(text, '[一-鿿]')) / nullif(length(replace(text, ' ', '')), 0) > 0.3 THEN 'zh' ELSE 'en' END AS language FROM t")
@@ -60,7 +67,7 @@ def language_detect(spark, d):
 _COMPLEX = " + ".join(f"contains(lower(text), '{w}')::INT" for w in tx.COMPLEX_WORDS)
 
 
-@query("complexity_class", f"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '{tx.GREETINGS}') OR length(text) < 20 THEN 'SIMPLE' WHEN ({_COMPLEX}) >= 2 OR len(regexp_extract_all(text, '[?？,，]')) >= 2 OR length(text) > 200 THEN 'COMPLEX'
+@query("complexity_class", f"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '{'|'.join(tx.SIMPLE_STARTS)}') OR length(text) < 20 THEN 'SIMPLE' WHEN ({_COMPLEX}) >= 2 OR len(regexp_extract_all(text, '[?？,]')) >= 2 OR length(text) > 200 THEN 'COMPLEX'
 WHEN ({_COMPLEX}) >= 1 OR length(text) > 100 THEN 'MODERATE' ELSE 'SIMPLE' END AS class FROM conversations WHERE text IS NOT NULL""")
 def complexity_class(spark, d):
     return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", tx.complexity(F.col("text")).alias("class"))

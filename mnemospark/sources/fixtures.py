@@ -89,16 +89,16 @@ h AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 0.9::DOUBLE A
 
 
 def knows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """KNOWS edges (src, dst, confidence) between users: to the next user active, of one type, within the event order."""
+    """KNOWS edges (src, dst, confidence) between users: to the next user active in an hour with an event of one type."""
     e = table(spark, sf_dir, "events")
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    nxt = e.select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"), F.col("event_id"))
-    kept = nxt.where((F.col("src") != F.col("dst")) & (F.col("event_id") % 8 == 0))
+    w = Window.partitionBy("event_type", F.date_trunc("hour", "ts")).orderBy("ts", "event_id")
+    nxt = e.select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"))
+    kept = nxt.where(F.col("src") != F.col("dst"))
     return kept.groupBy("src", "dst").agg(F.count("*").alias("n")).select("src", "dst", F.least(F.lit(1.0), F.lit(0.5) + F.col("n") / 10.0).alias("confidence"))
 
 
 KNOWS = """
 e AS (SELECT src, dst, least(1.0, 0.5 + count(*) / 10.0)::DOUBLE AS confidence FROM (
-  SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS dst, event_id FROM events)
-  WHERE src <> dst AND event_id % 8 = 0 GROUP BY 1, 2)
+  SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS dst FROM events)
+  WHERE src <> dst GROUP BY 1, 2)
 """

@@ -195,11 +195,97 @@ def test_trajectories():
 
 def test_mentions(spark):
     found = {(t, label) for _, _, _, t, label in mentions.find("今天早晨8点在星巴克和李医生讨论, mail a.b@x.org, Tom 13812345678")}
-    assert {("今天", "DATE"), ("星巴克", "BRAND"), ("李医生", "PERSON"), ("a.b@x.org", "EMAIL"), ("Tom", "PERSON"), ("13812345678", "PHONE")} <= found
-    assert mentions.find(None) == [] and not [m for m in mentions.find("The end") if m[4] == "PERSON"]
-    df = spark.createDataFrame([(1, "李医生"), (2, "")], "id int, text string")
+    assert {("今天", "DATE"), ("早晨", "TIME"), ("8点", "TIME"), ("星巴克", "BRAND"), ("李医生", "PERSON"), ("a.b@x.org", "EMAIL"), ("Tom", "PERSON"), ("13812345678", "PHONE")} <= found
+    assert mentions.find(None) == [] and not [m for m in mentions.find("The Monday end") if m[4] == "PERSON"]
+    df = spark.createDataFrame([(1, "林医生"), (2, "")], "id int, text string")
     rows = mentions.mentions(df, "id", "text").collect()
-    assert [(r.id, r.text) for r in rows] == [(1, "李医生")]
+    assert [(r.id, r.text) for r in rows] == [(1, "林医生")]
+
+
+@pytest.mark.parametrize(
+    ("sentence", "want"),
+    [
+        # titles keep their own confidence, the longer one wins
+        ("跟女朋友和同事吃饭", [("女朋友", "PERSON", 0.95), ("同事", "PERSON", 0.85)]),
+        ("爸妈在家", [("爸妈", "PERSON", 0.9), ("家", "PLACE", 0.9)]),
+        # a surname with one or two characters, less particles at its end; a title after it adds trust
+        ("郝建国到了", [("郝建国", "PERSON", 0.7)]),
+        ("钱多的", [("钱多", "PERSON", 0.7)]),
+        ("龚平经理", [("龚平经", "PERSON", 0.7)]),
+        ("吴和平", [("吴和平", "PERSON", 0.7)]),
+        # no name ends in a character of time, and common words are none
+        ("周日", [("周日", "DATE", 0.92)]),
+        ("2024年3月5号", [("2024年3月5号", "DATE", 0.95), ("3月5号", "DATE", 0.9)]),
+        ("2024/3/5 14:30", [("2024/3/5", "DATE", 0.95), ("14:30", "TIME", 0.95)]),
+        ("下周三7点半", [("下周三", "DATE", 0.9), ("周三", "DATE", 0.92), ("7点半", "TIME", 0.88)]),
+        ("010-12345678", [("010-12345678", "PHONE", 0.95)]),
+        ("飞往西班牙", [("西班牙", "GPE", 0.95)]),
+        ("腾飞科技公司", [("腾飞科技公司", "ORG", 0.85), ("腾飞科技公司", "PLACE", 0.82), ("公司", "PLACE", 0.9)]),
+        ("用知乎", [("知乎", "PRODUCT", 0.95)]),
+        ("发布会和答辩", [("发布会", "EVENT", 0.88), ("答辩", "EVENT", 0.87)]),
+    ],
+)
+def test_mentions_by_hand(sentence, want):
+    got = {(t, label, -neg) for _, neg, _, t, label in mentions.find(sentence)}
+    best = {}
+    for t, label, conf in want:
+        if t not in best or conf > best[t][1]:
+            best[t] = (label, conf)
+    assert {(t, *best[t]) for t in best} <= got
+
+
+@pytest.mark.parametrize(
+    ("said", "want"),
+    [
+        ("how do they compare and why, say, is that so", "COMPLEX"),
+        ("please analyze the weekly numbers", "MODERATE"),
+        ("what is on the table over there today", "SIMPLE"),
+        ("now then, what if they evaluate it again", "SIMPLE"),
+        ("goodbye and explain and compare all of it", "SIMPLE"),
+        ("该方案到底怎么样？预算够吗？请都说一说看一看", "COMPLEX"),
+        ("how?", "SIMPLE"),
+    ],
+)
+def test_complexity_by_hand(spark, said, want):
+    assert value(spark, text.complexity(F.lit(said))) == want
+
+
+@pytest.mark.parametrize(
+    ("said", "level"),
+    [
+        ("card 4111111111111111 here", "RESTRICTED"),
+        ("id 110101199003070000", "RESTRICTED"),
+        ("the KEY is under the mat", "RESTRICTED"),
+        ("salary and health", "PUBLIC"),
+        ("call 13812345678 please", "CONFIDENTIAL"),
+        ("write to a.b@x.org", "CONFIDENTIAL"),
+        ("my address", "CONFIDENTIAL"),
+        ("a note for you", "INTERNAL"),
+        ("1234567890123456789012", "PUBLIC"),
+    ],
+)
+def test_classification_by_hand(spark, said, level):
+    assert value(spark, text.classification(F.lit(said))) == level
+
+
+def test_redaction_by_hand(spark):
+    keys = ["password", "user_email", "CREDIT_CARD", "key", "credential", "Phone", "locations", "name"]
+    df = spark.createDataFrame([({k: "v" for k in keys},)], "m map<string,string>").select(text.redacted(F.col("m")).alias("m"))
+    assert {k for k, v in df.first().m.items() if v == "v"} == {"key", "credential", "name"}
+
+
+def test_linked_by_parts(spark):
+    from mnemospark.queries.upkeep import linked
+
+    names = ["a", "ab", "abc", "xabcy", "zz", "", "long name here"]
+    said = ["b", "abc", "xabcyz", "name", "q", "", "the long name here too"]
+    c = spark.createDataFrame(list(enumerate(names)), "concept_id int, name string")
+    m = spark.createDataFrame([(s,) for s in said], "mention string")
+    got = {r.mention: r.concept_id for r in linked(m, c, spark.createDataFrame([], "synonym string, concept_id int")).collect()}
+    for s in said:
+        exact = [i for i, n in enumerate(names) if n == s]
+        part = [i for i, n in enumerate(names) if n and s and (n in s or s in n)]
+        assert got[s] == (exact[0] if exact else min(part, default=None)), s
 
 
 def test_photo_blocks():
