@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -237,45 +238,48 @@ class Index:
         return best, which
 
 
+#: The index of the model that this process used last, by the model's name.
+_INDEX: dict[str, Index] = {}
+
+
 class Model:
-    """What the executors need to score texts."""
+    """What the executors need to score texts; each builds the index itself from the examples' terms and counts."""
 
     def __init__(self, names: list[str], idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], sizes: tuple[int, int], shares: tuple[float, float]) -> None:
         """``examples``: (id, label, terms, counts) of those that have a term; sizes: of all examples by label."""
-        self.names, self.idf = names, idf
+        self.name, self.names, self.idf = uuid.uuid4().hex, names, idf
         self.ids, self.labels = [i for i, *_ in examples], np.asarray([y for _, y, *_ in examples], np.int64)
-        self.example = {i: k for k, i in enumerate(self.ids)}
-        self.held = [(t, n) for *_, t, n in examples]
-        vectors = [self.vector(t, n) for t, n in self.held]
+        held = [np.concatenate([np.empty(0, np.int32), *x]).astype(np.int32) for x in zip(*(e[2:] for e in examples), strict=True)] or [np.empty(0, np.int32)] * 2
+        lengths = np.fromiter((len(t) for _, _, t, _ in examples), np.int32, len(examples))
+        self.packed = zlib.compress(b"".join(x.tobytes() for x in (lengths, *held)), 1)
         self.neighbours = math.ceil(math.sqrt(max(1, sum(sizes))))
-        self.index = Index(vectors, len(names))
-        weight = [shares[k] / max(1, sizes[k]) for k in (0, 1)]
-        bare = [weight[k] * (sizes[k] - int((self.labels == k).sum())) for k in (0, 1)]
+        self.weight = np.asarray([shares[k] / max(1, sizes[k]) for k in (0, 1)])
+        bare = [self.weight[k] * (sizes[k] - int((self.labels == k).sum())) for k in (0, 1)]
         self.bare = bare[1] / sum(bare) if sum(bare) > 0 else shares[1]
-        votes = np.concatenate([np.empty(0), *(self.votes(*self.index.nearest(vectors[at : at + TOGETHER], self.neighbours, list(range(at, min(at + TOGETHER, len(vectors)))))) for at in range(0, len(vectors), TOGETHER))])
-        own = np.flatnonzero(~np.isnan(votes))
-        self.curve = logistic(votes[own], self.labels[own], np.asarray(weight)[self.labels[own]]) if len(own) else (0.0, 0.0)
+        self.curve = (0.0, 0.0)
+
+    def fit(self, votes: dict[int, float]) -> None:
+        """Fit the curve to the votes that examples get from the others, by id."""
+        own = [k for k, i in enumerate(self.ids) if i in votes]
+        if own:
+            labels = self.labels[own]
+            self.curve = logistic(np.asarray([votes[self.ids[k]] for k in own]), labels, self.weight[labels])
+
+    def prepare(self) -> None:
+        """Build what scoring needs, once in a process."""
+        if self.name not in _INDEX:
+            raw = np.frombuffer(zlib.decompress(self.packed), np.int32)
+            lengths, rest = raw[: len(self.ids)], raw[len(self.ids) :]
+            edges = np.cumsum(lengths)[:-1]
+            half = len(rest) // 2
+            vectors = [self.vector(t, n) for t, n in zip(np.split(rest[:half], edges), np.split(rest[half:], edges), strict=True)] if self.ids else []
+            _INDEX.clear()
+            _INDEX[self.name] = Index(vectors, len(self.names))
+        if not hasattr(self, "space"):
+            self.space, self.example = Space(self.names), {i: k for k, i in enumerate(self.ids)}
 
     def __getstate__(self) -> dict:
-        """What is sent to executors: the examples' terms and counts, from which they build the index themselves."""
-        kind = np.uint16 if len(self.names) < 1 << 16 else np.int32
-        sizes = np.fromiter((len(t) for t, _ in self.held), np.int32, len(self.held))
-        parts = [np.concatenate([np.empty(0, np.int32), *x]) for x in zip(*self.held, strict=True)] or [np.empty(0, np.int32)] * 2
-        packed = zlib.compress(sizes.tobytes() + parts[0].astype(kind).tobytes() + parts[1].astype(np.int32).tobytes(), 1)
-        return {k: v for k, v in self.__dict__.items() if k not in ("space", "index", "held")} | {"packed": (len(sizes), kind, packed)}
-
-    def __setstate__(self, state: dict) -> None:
-        n, kind, packed = state.pop("packed")
-        self.__dict__.update(state)
-        raw = zlib.decompress(packed)
-        sizes = np.frombuffer(raw, np.int32, n)
-        total = int(sizes.sum())
-        terms = np.frombuffer(raw, kind, total, 4 * n).astype(np.int32)
-        counts = np.frombuffer(raw[4 * n + total * np.dtype(kind).itemsize :], np.int32)
-        edges = np.cumsum(sizes)[:-1] if n else []
-        self.held = list(zip(np.split(terms, edges), np.split(counts, edges), strict=True)) if n else []
-        self.index = Index([self.vector(t, c) for t, c in self.held], len(self.names))
-        self.held = []
+        return {k: v for k, v in self.__dict__.items() if k not in ("space", "example")}
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.idf[terms]
@@ -289,20 +293,26 @@ class Model:
         total = cosines.sum(1)
         return np.where(total > 0, (cosines * toxic).sum(1) / (total + FAR), np.nan)
 
+    def neighbours_of(self, texts: list[str | None], ids: list[int | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Cosines and examples nearest to each text, a text's own example left out, some texts at a time."""
+        self.prepare()
+        for at in range(0, len(texts), TOGETHER):
+            vectors = [self.vector(*self.space.counts(t)) for t in texts[at : at + TOGETHER]]
+            yield _INDEX[self.name].nearest(vectors, self.neighbours, [self.example.get(i, -1) for i in ids[at : at + TOGETHER]])
+
+    def votes_of(self, texts: list[str | None], ids: list[int | None]) -> np.ndarray:
+        return np.concatenate([np.empty(0), *(self.votes(*x) for x in self.neighbours_of(texts, ids))])
+
     def score_all(self, texts: list[str | None], ids: list[int | None]) -> tuple[np.ndarray, list[str]]:
         """Scores, and as evidence the three nearest examples as id:label:cosine."""
-        if not hasattr(self, "space"):
-            self.space = Space(self.names)
-        out, evidence = np.empty(len(texts)), []
+        out, evidence = [np.empty(0)], []
         a, b = self.curve
-        for at in range(0, len(texts), TOGETHER):
-            part = texts[at : at + TOGETHER]
-            cosines, which = self.index.nearest([self.vector(*self.space.counts(t)) for t in part], self.neighbours, [self.example.get(i, -1) for i in ids[at : at + TOGETHER]])
+        for cosines, which in self.neighbours_of(texts, ids):
             votes = self.votes(cosines, which)
             with np.errstate(invalid="ignore"):
-                out[at : at + len(part)] = np.where(np.isnan(votes), self.bare, 1 / (1 + np.exp(-np.clip(a * votes + b, -30, 30))))
+                out.append(np.where(np.isnan(votes), self.bare, 1 / (1 + np.exp(-np.clip(a * votes + b, -30, 30)))))
             evidence += [",".join(f"{self.ids[i]}:{self.labels[i]}:{s:.3f}" for s, i in zip(c, w, strict=True) if i >= 0) for c, w in zip(cosines[:, :3].tolist(), which[:, :3].tolist(), strict=True)]
-        return out, evidence
+        return np.concatenate(out), evidence
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -366,7 +376,17 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     rows = arrow_map(examples.select("id", "toxic", "text"), run, "id long, toxic int, at binary, n binary").collect()  # sum(most) rows at most
     vectors = [(r.id, r.toxic, np.frombuffer(r.at, np.int32), np.frombuffer(r.n, np.int32)) for r in sorted(rows, key=lambda r: r.id)]
-    return Model(names, np.log(np.maximum(1, n / np.maximum(df, 1))) ** RARITY, vectors, sizes, shares)
+    model = Model(names, np.log(np.maximum(1, n / np.maximum(df, 1))) ** RARITY, vectors, sizes, shares)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.votes_of(b.column(1).to_pylist(), b.column(0).to_pylist()))], ["id", "vote"])
+
+    tasks = max(1, min(sum(sizes) // TOGETHER, docs.sparkSession.sparkContext.defaultParallelism))
+    found = arrow_map(examples.select("id", "text").repartition(tasks), vote, "id long, vote double").where("not isnan(vote)").collect()  # sum(most) rows at most
+    model.fit({r.id: r.vote for r in found})
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", score: str = "__score", evidence: str = "__evidence") -> DataFrame:
