@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemospark.queries import analytics, forecasts, graphs, imports, memory, reasoning, recommendations, search, streams, texts, upkeep  # noqa: F401
+from mnemospark.queries import analytics, forecasts, graphs, imports, memory, models, reasoning, recommendations, search, streams, texts, upkeep  # noqa: F401
 from mnemospark.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

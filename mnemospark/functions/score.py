@@ -43,3 +43,8 @@ def capped(n: Column, per: float, cap: float = 1.0) -> Column:
 
 def boosted(importance_: Column) -> Column:
     return F.least(F.lit(1.0), importance_ * 1.5)
+
+
+def fused(confidence: Column, timeliness: Column, personal: Column, diversity: Column) -> Column:
+    """The weighted sum that ranks recommendations."""
+    return confidence * 0.3 + timeliness * 0.2 + personal * 0.3 + diversity * 0.2

@@ -7,9 +7,10 @@ few rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.functions.vector import cosine
 from mnemospark.plans.lineage import cut
 
 #: Rounds between written states.
@@ -22,8 +23,18 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
 
 
-def reach(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
-    """(start, node, hops) of all nodes within ``most`` steps of each start (column node); the start has 0."""
+def semantic_distance(pairs: DataFrame, edges: DataFrame, vectors: DataFrame, most: int = 10) -> DataFrame:
+    """(a, b, distance): 1 - cosine where both have a vector (node, vector), else steps from a to b by ``most``, else 1."""
+    side = lambda k: vectors.select(F.col("node").alias(k), F.col("vector").alias(f"v{k}"))
+    held = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    steps = reach(edges, pairs.select(F.col("a").alias("node")), most).select(F.col("start").alias("a"), F.col("node").alias("b"), "hops")
+    away = F.when(F.col("va").isNotNull() & F.col("vb").isNotNull(), 1 - cosine(F.col("va"), F.col("vb"))).otherwise(F.coalesce(F.col("hops") / float(most), F.lit(1.0)))
+    return held.join(steps, ["a", "b"], "left").select("a", "b", away.alias("distance"))
+
+
+def reach(edges: DataFrame, starts: DataFrame, most: int, through: Column | None = None) -> DataFrame:
+    """(start, node, hops) of all nodes within ``most`` steps of each start (column node), over edges that ``through`` admits; the start has 0."""
+    edges = edges if through is None else edges.where(through)
     front = starts.select(F.col("node").alias("start"), "node").distinct().withColumn("hops", F.lit(0))
     seen = front
     for hop in range(1, most + 1):
@@ -47,8 +58,14 @@ def closure(edges: DataFrame, most: int = 50) -> DataFrame:
     return known
 
 
-def pagerank(edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
-    """(node, rank) after ``rounds`` rounds over edges in both directions.
+def met_by(links: DataFrame, ranks: DataFrame, damping: float) -> DataFrame:
+    """Ranks after one round over links (src, dst, n, size)."""
+    met = links.join(ranks, F.col("src") == F.col("node"))
+    return met.groupBy(F.col("dst").alias("node")).agg((F.lit(1 - damping) / F.first("size") + F.sum(F.col("rank") / F.col("n")) * damping).alias("rank"))
+
+
+def pagerank(edges: DataFrame, rounds: int, damping: float = 0.85, least: float | None = None) -> DataFrame:
+    """(node, rank) after ``rounds`` rounds over edges in both directions, or once a round moves ranks by less than ``least`` in all.
 
     Every node of such a graph passes on all that it has, so ranks sum to 1 in every round
     without being scaled, and a round is one join and one sum by node.
@@ -59,10 +76,15 @@ def pagerank(edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
     links = links.crossJoin(F.broadcast(size))
     ranks = ranks.crossJoin(F.broadcast(size)).select("node", (F.lit(1.0) / F.col("size")).alias("rank"))
     for i in range(1, rounds + 1):
-        met = links.join(ranks, F.col("src") == F.col("node"))
-        ranks = met.groupBy(F.col("dst").alias("node")).agg((F.lit(1 - damping) / F.first("size") + F.sum(F.col("rank") / F.col("n")) * damping).alias("rank"))
+        ranks = met_by(links, ranks, damping)
         if i % KEEP == 0:
             ranks = cut(ranks, "ranks")
+            if least is not None:
+                # whether it has settled is asked where ranks are written anyway
+                after = met_by(links, ranks, damping)
+                moved = after.withColumnRenamed("rank", "next").join(ranks, "node").agg(F.sum(F.abs(F.col("next") - F.col("rank")))).first()[0]
+                if moved is None or moved < least:
+                    break
     return ranks
 
 

@@ -327,3 +327,34 @@ def test_photo_events_and_embeddings(spark):
     docs = spark.createDataFrame([(1, "red fox"), (2, "red fox"), (3, "")], "id int, text string")
     v = {r.id: r.embedding for r in stores.hashed_embeddings(docs, "id", "text").collect()}
     assert v[1] == v[2] and sum(x * x for x in v[1]) == pytest.approx(1.0) and set(v[3]) == {0.0}
+
+
+def test_pagerank_stops_when_settled(spark):
+    edges = spark.createDataFrame([(a, b) for a, b in ((1, 2), (2, 1), (2, 3), (3, 2), (3, 4), (4, 3), (2, 4), (4, 2))], "src long, dst long")
+    got = {r.node: r["rank"] for r in graph.pagerank(edges, 100, least=1e-6).collect()}
+    links, ranks = {1: [2], 2: [1, 3, 4], 3: [2, 4], 4: [3, 2]}, dict.fromkeys((1, 2, 3, 4), 0.25)
+    for _ in range(200):
+        ranks = {n: 0.15 / 4 + 0.85 * sum(ranks[m] / len(links[m]) for m in links if n in links[m]) for n in links}
+    assert all(abs(got[n] - ranks[n]) < 1e-5 for n in links)
+
+
+def test_reach_through_some_edges(spark):
+    edges = spark.createDataFrame([(1, 2, "a"), (2, 3, "b"), (2, 4, "a")], "src long, dst long, kind string")
+    start = spark.createDataFrame([(1,)], "node long")
+    assert {(r.node, r.hops) for r in graph.reach(edges, start, 3, F.col("kind") == "a").collect()} == {(1, 0), (2, 1), (4, 2)}
+
+
+def test_plugged_in_models(spark):
+    from mnemospark.operators import models
+
+    docs = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, None), (4, "abc")], "id int, text string")
+    out, cache = models.embedded(docs, "id", "text", lambda ts: [[float(len(t))] for t in ts], "len")
+    assert {r.id: r.embedding for r in out.collect()} == {1: [2.0], 2: [2.0], 3: None, 4: [3.0]} and cache.count() == 2
+    more = docs.unionByName(spark.createDataFrame([(5, "q")], docs.schema))
+    out, cache = models.embedded(more, "id", "text", lambda ts: [[-1.0] for _ in ts], "len", cache)
+    assert {r.id: r.embedding for r in out.collect()} == {1: [2.0], 2: [2.0], 3: None, 4: [3.0], 5: [-1.0]} and cache.count() == 3
+    said = spark.createDataFrame([(1, "Alice met friends of the Old Town club"), (2, None), (3, "妈妈今天在上海")], "id int, text string")
+    got = {(r.id, r.text, r.label) for r in models.hybrid_mentions(said, "id", "text").collect()}
+    assert (1, "Alice", "PERSON") in got and (3, "妈妈", "PERSON") in got and not any(i == 2 for i, *_ in got)
+    only = models.hybrid_mentions(said, "id", "text", lambda ts: [[(0, len(t), "ALL", 0.99)] for t in ts]).collect()
+    assert [r.text for r in only if r.id == 1] == ["Alice met friends of the Old Town club"] and all(r.label != "ALL" for r in only if r.id == 3)
