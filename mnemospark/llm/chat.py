@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
-from mnemospark.llm.arrow import arrow_map
+from mnemospark.llm.arrow import arrow_map, column
 from mnemospark.plans.lineage import cut
 
 #: Characters after which a part is closed.
@@ -142,11 +142,22 @@ def turns_of_records(records: DataFrame, record_id: str, record: str) -> DataFra
     return arrow_map(records.select(F.col(record_id).cast("long"), record), run, "conv_id long, fingerprint string, turn long, role string, text string")
 
 
-def turns_of_table(df: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) of a table whose schema's fingerprint names its mapping; roles stay as they are."""
-    name = BY_FINGERPRINT.get(fingerprint(schema_paths(df.schema)))
-    if name is None or "rows" not in MAPPINGS[name]:
-        raise ValueError(f"no mapping for a table with {sorted(schema_paths(df.schema))}")
+def turns_of_table(df: DataFrame, record_id: str = "conv_id") -> DataFrame:
+    """(conv_id, turn, role, text) of a table whose schema's fingerprint names its mapping.
+
+    Of turn rows roles stay as they are. Of a table with one typed record a row, nested
+    arrays and structs included, the records go the way of JSON records, with their
+    conversation id in ``record_id``; a row whose needed field is null gives no turns.
+    """
+    paths = schema_paths(df.schema)
+    # the id is a field of turn rows, but of no record
+    name = BY_FINGERPRINT.get(fingerprint(paths)) or BY_FINGERPRINT.get(fingerprint(paths - {record_id}))
+    if name is None:
+        raise ValueError(f"no mapping for a table with {sorted(paths)}")
+    if "rows" not in MAPPINGS[name]:
+        fields = sorted({p.split("[")[0].split(".")[0] for p in set().union(*_paths(MAPPINGS[name]))} & set(df.columns))
+        records = df.select(column(record_id).cast("long").alias("id"), F.to_json(F.struct(*map(column, fields))).alias("record"))
+        return turns_of_records(records, "id", "record").where("turn is not null").select("conv_id", "turn", "role", "text")
     of = MAPPINGS[name]["rows"]
     return df.select(F.col(of["conversation"]).alias("conv_id"), F.col(of["turn"]).alias("turn"), F.coalesce(F.col(of["role"]), F.lit("")).alias("role"), F.coalesce(F.col(of["text"]), F.lit("")).alias("text"))
 

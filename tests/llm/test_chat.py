@@ -83,3 +83,13 @@ def test_layouts(spark):
 def test_fingerprints_tell_layouts_apart():
     assert set(chat.BY_FINGERPRINT.values()) == set(chat.MAPPINGS)
     assert chat.fingerprint({"prompt", "completion", "noise"}) == chat.fingerprint({"completion", "prompt"})
+
+
+def test_typed_tables_of_records(spark):
+    nested = "conv_id long, messages array<struct<role:string,content:string>>, system string, extra int"
+    df = spark.createDataFrame([(1, [("user", "hi"), ("assistant", None)], "be kind", 1), (2, [("user", "a\n<|end|>")], None, 2), (3, None, "x", 3), (4, [], None, 4)], nested)
+    got = sorted((r.conv_id, r.turn, r.role, r.text) for r in chat.turns_of_table(df).collect())
+    assert got == [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", ""), (2, 0, "user", "a\n<|end|>")]
+    flat = spark.createDataFrame([(7, "do", "with this", "done"), (8, "do", None, ""), (9, None, "x", "y")], "n long, instruction string, input string, output string")
+    got = sorted((r.conv_id, r.turn, r.role, r.text) for r in chat.turns_of_table(flat, "n").collect())
+    assert got == [(7, 0, "user", "do\n\nwith this"), (7, 1, "assistant", "done"), (8, 0, "user", "do"), (8, 1, "assistant", "")]
