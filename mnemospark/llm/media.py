@@ -11,8 +11,8 @@ among those of the whole.
 
 Two corners meet in a Hamming table if two of their four 32-bit blocks are equal; only
 corners whose patch is not nearly a quadratic surface stand in the table, since simple
-edges look alike everywhere. Two images with such meetings at MANY corners, or at two that
-agree on a turn and a change of scale, are candidates. Then all corners of the two are
+edges look alike everywhere. Two images with such meetings at MANY corners that agree on a
+turn and a change of scale are candidates. Then all corners of the two are
 compared: mutual nearest descriptors each propose a change of scale, turn and place, and
 the pair is confirmed if one change is agreed on by corners at CONSENSUS places and by
 SHARE of the corners of the image that has fewer.
@@ -43,7 +43,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.llm.arrow import arrow_map
@@ -60,7 +60,7 @@ BITS = 128
 PATCH, MARGIN = 14.5, 16
 #: Share of a patch's variance that a quadratic surface leaves, below which a corner is too plain for the table.
 PLAIN = 0.2
-#: Corners that meet in the table and make two images candidates without a look at their agreement.
+#: Corners that meet in the table, agreeing on a turn and a change of scale, and so make two images candidates.
 MANY = 3
 #: Differing bits of descriptors that still count as the same corner.
 RADIUS = 32
@@ -313,8 +313,12 @@ def described(images: DataFrame, keep: str, image: str) -> DataFrame:
     return arrow_map(images.select(keep, image), run, f"`{keep}` {images.schema[keep].dataType.simpleString()}, digest binary, corners binary")
 
 
-def table_entries(corners: DataFrame) -> DataFrame:
-    """(cell, row, corner, turn, level): each telling corner once for each two of its four blocks."""
+#: The two blocks that make a table's cell.
+TABLES = tuple(combinations(range(4), 2))
+
+
+def table_entries(corners: DataFrame, tables: tuple[tuple[int, int], ...] = TABLES) -> DataFrame:
+    """(cell, row, corner, turn, level): each telling corner once for each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -323,7 +327,7 @@ def table_entries(corners: DataFrame) -> DataFrame:
                 at = np.flatnonzero(~r["plain"]).astype(np.int32)
                 blocks = [r["d"][at, k // 2] >> np.uint64(32 * (k % 2)) & np.uint64(0xFFFFFFFF) for k in range(4)]
                 # a bijection of the 64 bits, another one for each two blocks
-                cells = [(((x << np.uint64(32)) | y) ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9) for k, (x, y) in enumerate(combinations(blocks, 2))]
+                cells = [(((blocks[x] << np.uint64(32)) | blocks[y]) ^ np.uint64(0x9E3779B97F4A7C15 * (4 * x + y) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9) for x, y in tables]
                 turn = np.rint(r["angle"][at] / (2 * np.pi) * TURNS).astype(np.int16) % TURNS
                 n = len(cells)
                 columns = [np.concatenate(cells).view(np.int64), np.full(n * len(at), row, np.int64), np.tile(at, n), np.tile(turn.astype(np.int16), n), np.tile(r["level"][at].astype(np.int16), n)]
@@ -372,15 +376,16 @@ def same_picture(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def candidates(both: DataFrame) -> DataFrame:
-    """(a, b) of the meetings (a, b, corner, turn, level: a's corner, differences) at MANY corners, or at two that agree."""
-    # one shuffle: what is dealt by a and b needs no other for the counts by corner
-    each = both.repartition("a", "b").groupBy("a", "b", "corner").agg(F.min("turn").alias("turn"), F.min("level").alias("level"))
-    packed = F.shiftleft(F.col("corner").cast("long"), 16) + F.shiftleft(F.col("turn").cast("long"), 8) + F.col("level") + 128
-    pairs = each.withColumn("packed", packed).groupBy("a", "b").agg(F.count("*").alias("n"), F.min("packed").alias("low"), F.max("packed").alias("high")).where("n > 1")
-    part = lambda c, shift: F.shiftright(F.col(c), shift).bitwiseAND(F.lit(255))
-    far = F.pmod(part("low", 8) - part("high", 8), F.lit(TURNS))
-    agree = (F.abs(part("low", 0) - part("high", 0)) <= 1) & (F.least(far, TURNS - far) <= TURNS // 10)
-    return pairs.where((F.col("n") >= MANY) | agree).select("a", "b")
+    """(a, b) of the meetings (a, b, corner, turn, level: a's corner, differences) in which MANY corners agree."""
+    hit = F.struct("corner", "turn", "level")
+    pairs = both.groupBy("a", "b").agg(F.min("corner").alias("low"), F.max("corner").alias("high"), F.collect_set(hit).alias("hits")).where("low < high")
+
+    def beside(g: Column, h: Column) -> Column:
+        far = F.pmod(g["turn"] - h["turn"], F.lit(TURNS))
+        return (F.abs(g["level"] - h["level"]) <= 1) & (F.least(far, TURNS - far) <= TURNS // 10)
+
+    agree = F.exists("hits", lambda g: F.size(F.array_distinct(F.transform(F.filter("hits", lambda h: beside(g, h)), lambda h: h["corner"]))) >= MANY)
+    return pairs.where(F.size("hits") >= MANY).where(agree).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, corners: DataFrame) -> DataFrame:
@@ -415,10 +420,12 @@ def meetings(placed: DataFrame, other: DataFrame, once: bool) -> DataFrame:
 
 def classes(corners: DataFrame, roots: DataFrame) -> DataFrame:
     """(row, root): the classes of ``roots`` joined by confirmed candidates of ``corners`` (row, corners)."""
-    entries = cut(table_entries(corners), "entries")
-    shared = entries.groupBy("cell").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("cell")
-    live = cut(entries.join(shared, "cell", "left_semi"), "cells")
-    forget(entries)
+    parts = []
+    for table in TABLES:  # one after the other, so that no more than one table's entries are shuffled at a time
+        entries = table_entries(corners, (table,))
+        shared = entries.groupBy("cell").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("cell")
+        parts.append(cut(entries.join(shared, "cell", "left_semi"), "cells"))
+    live = functools.reduce(DataFrame.unionByName, parts)
     labels = cut(roots, "labels")
     few = FEW * live.count()
     tried = None
@@ -445,7 +452,8 @@ def classes(corners: DataFrame, roots: DataFrame) -> DataFrame:
             forget(done)
         if last:
             break
-    forget(live)
+    for part in parts:
+        forget(part)
     return labels
 
 
