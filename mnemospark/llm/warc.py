@@ -99,13 +99,13 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], dict[str, str], bytes
     """(headers, HTTP headers, payload) of each record of a compressed file; digests are checked."""
     at, view = 0, memoryview(data)
     while at < len(data):
-        member, raw = zlib.decompressobj(31), b""
+        member, pieces = zlib.decompressobj(31), []
         while not member.eof:
             if at >= len(data):
                 raise ValueError("the file ends inside a record")
-            raw += member.decompress(view[at : at + PIECE])
+            pieces.append(member.decompress(view[at : at + PIECE]))
             at += min(PIECE, len(data) - at) - len(member.unused_data)
-        head, _, body = raw.partition(b"\r\n\r\n")
+        head, _, body = b"".join(pieces).partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("not an archive record")
