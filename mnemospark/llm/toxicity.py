@@ -60,7 +60,7 @@ KINDS = 8
 #: Terms that a larger share of the examples holds are dense rows of a block.
 DENSE = 1 / 16
 #: Texts whose neighbours are searched together.
-TOGETHER = 256
+TOGETHER = 1024
 #: Partial counts that a task holds before it passes them on.
 HELD = 300_000
 WORD = re.compile(r"\w+")
