@@ -179,6 +179,26 @@ def test_recommendation(spark):
     assert a.count() == 3
 
 
+@pytest.mark.parametrize("metric", ["cosine", "pearson"])
+def test_users_as_a_matrix(spark, metric, monkeypatch):
+    """Copies, multiples and constant rows included, the neighbours are those of the join of users by items."""
+    rng = np.random.default_rng(3)
+    own = [{i: int(rng.integers(1, 4)) for i in rng.choice(6, int(rng.integers(1, 6)), replace=False)} for _ in range(30)]
+    own += own[:8] * 3 + [{i: 2 * n for i, n in x.items()} for x in own[:8]] + [{0: 2, 1: 2}] * 5
+    rows = [(u, f"i{i}", float(n)) for u, x in enumerate(own) for i, n in x.items()]
+    df = spark.createDataFrame(rows, "user_id long, item_id string, rating double")
+    joined = recommend.user_based(df.withColumn("user_id", F.format_string("%04d", "user_id")), 5, metric)
+    want = {(int(r.user_id), r.item_id): round(r.score, 6) for r in joined.collect()}
+    monkeypatch.setattr(recommend, "PART", 64)  # several parts
+    monkeypatch.setattr(recommend, "similarities", None)  # no pairs of users for each item
+    got = {(r.user_id, r.item_id): round(r.score, 6) for r in recommend.user_based(df, 5, metric).collect()}
+    assert want and got == pytest.approx(want)
+
+
+def test_rounding_of_similarities():
+    assert recommend.rounded(np.asarray([1 / 1024, 0.1234567894999, 1.0]), 9).tolist() == [976563, 123456789, 10**9]
+
+
 def test_search_ranks(spark):
     docs = spark.createDataFrame([(1, "red fox red"), (2, "blue fox"), (3, "green")], "doc_id long, text string")
     s = {r.doc_id: r.score for r in topk.bm25(docs, ["red", "fox"]).collect()}
