@@ -55,6 +55,8 @@ GENERALISE, REMOVE = 0.75, 0.95
 SLOTS = 1 << 22
 #: Partial counts that a task holds before it passes them on.
 HELD = 200_000
+#: So many flagged terms are sent to the executors, which then need neither a join nor a table of texts.
+SENT = 400_000
 SPAN = "array<struct<kind:string,start:long,end:long>>"
 TERM = "array<struct<term:string,starts:array<long>>>"
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -229,14 +231,51 @@ def mark(word: str) -> str:
     return "[NUMBER]" if any(c.isdigit() for c in word) else "[NAME]" if word[0].isupper() else "[WORD]"
 
 
+def hidden(text: str | None, base: list[tuple[str, int, int]], own: list[tuple[int, int, bool]]) -> str | None:
+    """A text with its base spans and the terms ``own`` (start, end, whether it is removed) replaced, the first of those that overlap."""
+    cuts = [(start, end, f"[{kind.upper()}]") for kind, start, end in base] + [(start, end, "" if removed else mark(text[start:end])) for start, end, removed in own]
+    if not cuts:
+        return text
+    out, at = [], 0
+    for start, end, put in sorted(cuts):
+        if start >= at:
+            out += [text[at:start], put]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def _hide(docs: DataFrame, text: str, spans: str, clean: str, flagged: dict[str, bool]) -> DataFrame:
+    """``docs`` with spans and cleaned texts, by flagged terms and whether they are removed; each text is scanned once, nothing is shuffled."""
+    kept = docs.columns
+    sent = docs.sparkSession.sparkContext.broadcast(flagged)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        removed = sent.value
+        for b in batches:
+            cleaned, all_ = [], []
+            for t in b.column(text).to_pylist():
+                base = base_spans(t) if t else []
+                own: list[tuple[int, int, bool]] = []
+                if t and any(w in removed for w in distinct_terms(t, base)):
+                    own = sorted((at, at + len(w), removed[w]) for w, starts in terms_of(t, base).items() if w in removed for at in starts)
+                cleaned.append(hidden(t, base, own))
+                all_.append([{"kind": k, "start": start, "end": end} for k, start, end in [*base, *(("term", start, end) for start, end, _ in own)]])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(all_, _SPAN), pa.array(cleaned, pa.string())], [*kept, spans, clean])
+
+    return arrow_map(docs, run, appended(docs.schema, {spans: SPAN, clean: "string"}))
+
+
 def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, spans: str = "__spans", clean: str = "__clean") -> DataFrame:
     """``docs`` with its spans (base and term spans, each with its kind) and the text without them appended.
 
-    Texts with nothing to hide are scanned and passed on; only the others are written and joined.
+    Up to SENT flagged terms go to the executors. If there are more, texts with nothing to
+    hide are scanned and passed on; only the others are written and joined.
     """
     kept = [c for c in docs.columns if c not in (spans, clean)]
     docs = docs.select(*map(column, kept))
     flagged = cut(disclosures(docs, text, support, generalise), "terms")
+    if flagged.count() <= SENT:
+        return _hide(docs, text, spans, clean, {r.term: r.removed for r in flagged.select("term", (F.col("share") >= remove).alias("removed")).collect()})
     row, hits, terms = (unused(x, docs) for x in ("__row", "__hits", "__terms"))
     scanned = find(docs, text, spans, hits, Slots(flagged.select(_term_hash("term").alias("h"))))
     some = (F.size(column(spans)) > 0) | (F.size(column(hits)) > 0)
@@ -255,14 +294,9 @@ def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, genera
         for b in batches:
             cleaned, all_ = [], []
             for t, base, own in zip(b.column(text).to_pylist(), b.column(spans).to_pylist(), b.column(terms).to_pylist(), strict=True):
-                cuts = [(s["start"], s["end"], f"[{s['kind'].upper()}]") for s in base] + [(s["start"], s["end"], "" if s["removed"] else mark(t[s["start"] : s["end"]])) for s in own or []]
-                out, at = [], 0
-                for start, end, put in sorted(cuts):
-                    if start >= at:
-                        out += [t[at:start], put]
-                    at = max(at, end)
-                cleaned.append("".join([*out, t[at:]]) if cuts else t)
-                all_.append([*base, *({k: s[k] for k in ("kind", "start", "end")} for s in own or [])])
+                own = [(o["start"], o["end"], o["removed"]) for o in own or []]
+                cleaned.append(hidden(t, [(o["kind"], o["start"], o["end"]) for o in base], own))
+                all_.append([*base, *({"kind": "term", "start": start, "end": end} for start, end, _ in own)])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(all_, _SPAN), pa.array(cleaned, pa.string())], [*kept, spans, clean])
 
     rest = scanned.where(~some).select(*map(column, kept), column(spans), column(text).alias(clean))

@@ -87,6 +87,16 @@ def test_clean_text(spark):
     assert [pii.mark(w) for w in ("abc", "Abc", "Ab1")] == ["[WORD]", "[NAME]", "[NUMBER]"]
 
 
+def test_few_terms_need_no_join(spark, monkeypatch):
+    df = spark.createDataFrame(docs(), "doc_id long, text string, n int").repartition(4)
+    shown = lambda: sorted((str(r.doc_id), str(r["__clean"]), str(r["__spans"])) for r in pii.sanitise(df).collect())
+    with monkeypatch.context() as m:
+        m.setattr(pii, "find", None)  # no table of texts, no second scan
+        once = shown()
+    monkeypatch.setattr(pii, "SENT", -1)
+    assert once == shown()
+
+
 def test_names_of_columns_are_kept(spark):
     rows = [(i, "write to me@here.org or askforjohn", "s", 1, 2, 3, 4, 5) for i in range(4)] + [(9, "plain", "s", 1, 2, 3, 4, 5)] * 9
     df = spark.createDataFrame(rows, "doc_id long, text string, __spans string, __near int, __clean int, __row int, __terms int, `a.b` int")
