@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -41,6 +43,37 @@ def test_terms_by_hand():
     assert toxicity.terms(None) == toxicity.terms("") == set()
 
 
+def test_counts_of_many_texts(monkeypatch):
+    """Against the plain definition, while words are forgotten and texts are counted some at a time."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abÄß_1") for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["Σίσυφος", "x" * 50, "x" * 51]
+    texts = [None, "", " \x1c\u3000", "--"] + ["".join(rng.choice(words) + rng.choice([" ", "-", "\n", ", ", "\u2003", "\x1f"]) for _ in range(rng.randint(0, 80))) for _ in range(120)]
+    names = sorted({f for t in texts[::2] for f in toxicity.terms(t)})
+    monkeypatch.setattr(toxicity, "WORDS", 500)
+    for remembered in (5, 10_000):
+        monkeypatch.setattr(toxicity, "REMEMBERED", remembered)
+        space = toxicity.Space(names)
+        for t, got in zip(texts * 2, space.counts_of(texts * 2), strict=True):
+            found = Counter(toxicity.WORD.findall((t or "").lower()))
+            want = {**found, **{"^" + p: n for p, n in toxicity.shared_beginnings(found).items()}}
+            assert {names[f]: n for f, n in dictionary(got).items()} == {f: n for f, n in want.items() if f in set(names)}
+
+
+def test_building_an_index_takes_little_beside_it():
+    rng = np.random.default_rng(4)
+    vectors = []
+    for _ in range(4000):
+        t = np.unique((3000 * rng.random(300) ** 3).astype(np.int32))
+        vectors.append((t, np.full(len(t), len(t) ** -0.5)))
+    tracemalloc.start()
+    index = toxicity.Index(vectors, 3000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    held = sum(x.nbytes for x in vars(index).values() if isinstance(x, np.ndarray))
+    entries = sum(len(t) for t, _ in vectors)
+    assert most < 1.2 * held + 24 * entries
+
+
 def test_document_frequencies(spark):
     texts = ["stupid words", "Stupid stupider", "", None, "nothing stupidest stupids"]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
