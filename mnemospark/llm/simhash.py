@@ -40,6 +40,8 @@ PART = 5
 FEW, ROUNDS = 4, 6
 RADIUS = 3
 SEGMENTS = 16
+#: Binary logarithm of the bits of the largest signature.
+LARGEST = 17
 #: Shingles whose bits are summed at a time.
 CHUNK = 1 << 15
 
@@ -268,6 +270,53 @@ def candidate_tokens(rows: DataFrame, least: float = SIMILARITY, key: str = "row
     return lists.select(F.explode(F.slice("all", F.lit(1), F.col("room"))).alias("x"), "row", "n", "weight").select("x.token", "row", "n", "weight")
 
 
+def signature(text: str | None) -> tuple[int, bytes]:
+    """Number of tokens of a text, and a bitmap of them by the low bits of their hashes, of so many bits or up to twice as many."""
+    tokens = shingle_tokens(text)
+    size = 1 << max(3, min(LARGEST, (len(tokens) - 1).bit_length()))
+    bits = np.zeros(size, bool)
+    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = True
+    return len(tokens), np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_similar(n: int, a: bytes, m: int, b: bytes) -> float:
+    """The similarity that two texts of these signatures can't exceed: each bit that only one has stands for a token that only it has."""
+    size = min(len(a), len(b))
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    for _ in range((len(a) // size).bit_length() - 1):
+        x = x >> (x_half := 4 * len(a)) | x & (1 << x_half) - 1
+        a = a[: len(a) // 2]
+    for _ in range((len(b) // size).bit_length() - 1):
+        y = y >> (y_half := 4 * len(b)) | y & (1 << y_half) - 1
+        b = b[: len(b) // 2]
+    both = min(n - (x & ~y).bit_count(), m - (y & ~x).bit_count())
+    return both / (n + m - both) if n + m else 1.0
+
+
+def signatures(texts: DataFrame) -> DataFrame:
+    """(row, n, bits) of texts (row, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [signature(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in held], pa.int32()), pa.array([x for _, x in held], pa.binary())], ["row", "n", "bits"])
+
+    return arrow_map(texts, run, "row long, n int, bits binary")
+
+
+def likely_pairs(pairs: DataFrame, signs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b, root_a, root_b) whose signatures leave room for ``least`` similarity; no text is needed to tell."""
+    kept = pairs.columns
+    full = pairs.join(signs.toDF("a", "n_a", "bits_a"), "a").join(signs.toDF("b", "n_b", "bits_b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            room = [most_similar(*x) >= least - 1e-9 for x in zip(*(b.column(c).to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in kept], kept).filter(pa.array(room, pa.bool_()))
+
+    return arrow_map(full, run, pairs.schema)
+
+
 def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(a, b) of the roots of the pairs (a, b, root_a, root_b) whose texts (row, text) are at least ``least`` similar."""
     t = texts.toDF("k", "t")
@@ -288,10 +337,12 @@ def similar_roots(rows: DataFrame, roots: DataFrame, least: float = SIMILARITY,
     so a round first compares each token's row of greatest weight, in a group around one
     text that text, with the token's rows of other components. Once the pairs of rows in
     different components are few for the number of rows, or after ROUNDS, all are compared.
+    Signatures rule out most pairs before their texts are joined.
     """
     tokens = cut(candidate_tokens(rows, least, key, text), "tokens")
     listed = tokens.select("row").distinct()
     texts = cut(rows.join(listed.withColumnRenamed("row", key), key, "left_semi").select(key, text), "texts")
+    signs = cut(signatures(texts), "signatures")
     labels = cut(roots.join(listed, "row", "left_semi").select("row", F.col("root").alias("was"), "root"), "labels")
     few = FEW * tokens.count()
     tried = None
@@ -314,7 +365,7 @@ def similar_roots(rows: DataFrame, roots: DataFrame, least: float = SIMILARITY,
         pairs = both.select(*(e.alias(c) for e, c in zip(ends, ("a", "b", "root_a", "root_b"), strict=True))).distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        moved = connected_components(similar_pairs(pairs, texts, least)).toDF("root", "to")
+        moved = connected_components(similar_pairs(likely_pairs(pairs, signs, least), texts, least)).toDF("root", "to")
         labels, old = cut(labels.join(moved, "root", "left").select("row", "was", F.coalesce("to", "root").alias("root")), "labels"), labels
         for done in (placed, met, old):
             forget(done)

@@ -117,6 +117,27 @@ def test_similarity_counts_repeats():
     assert simhash.similarity(None, "") == 1.0
 
 
+def test_signatures_rule_out_only_pairs_below(spark):
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(300)]
+    texts = [None, "", "a", "a b c d e f"]
+    for n in (3, 12, 40, 150, 700, 3000):
+        base = [rng.choice(vocab) for _ in range(n)]
+        notice = [rng.choice(vocab) for _ in range(n // 3)]
+        texts += [" ".join(w) for w in (base, base[:-1], base[: n * 9 // 10], edited(rng, vocab, base, 60), notice + base, base + base, ["x"] * n)]
+        texts += [" ".join(notice + [rng.choice(vocab) for _ in range(n)]) for _ in range(3)]  # share a notice only
+    rows = list(enumerate(texts))
+    signs = [simhash.signature(t) for t in texts]
+    pairs = [(a, b, a, b) for a, _ in rows for b, _ in rows if a < b]
+    for a, b, *_ in pairs:
+        assert simhash.similarity(texts[a], texts[b]) <= simhash.most_similar(*signs[a], *signs[b]) + 1e-9
+    docs = spark.createDataFrame(rows, "row long, text string")
+    ask = spark.createDataFrame(pairs, "a long, b long, root_a long, root_b long").repartition(3)
+    left = {(r.a, r.b) for r in simhash.likely_pairs(ask, simhash.signatures(docs), 0.8).collect()}
+    near = {(a, b) for a, b, *_ in pairs if simhash.similarity(texts[a], texts[b]) >= 0.8}
+    assert near <= left and len(left - near) < 0.05 * len(pairs)
+
+
 def brute_kept(rows):
     """The least id of each component by fingerprints and similarity, every pair compared."""
     fps = [brute_fingerprint(t, simhash.WIDTH) for _, t in rows]
