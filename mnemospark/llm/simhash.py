@@ -37,7 +37,15 @@ WIDTH, SIMILARITY = 5, 0.8
 #: Similar texts share one in so many of their tokens among those of the least hashes.
 PART = 5
 #: Pairs are all compared once there are so many for each token, or after so many rounds.
-FEW, ROUNDS = 4, 6
+FEW, ROUNDS = 0.5, 3
+#: Rows are close to a pivot if at most this part of their tokens, by the sum of both numbers, is in one of them only.
+CORE = 0.6
+#: Times that one row of each token is compared before all pairs of rows close to the first pivots are.
+STARS = 1
+#: Rows of a pivot that are compared with it in one task.
+BUCKET = 256
+#: Rows that are sent to all executors rather than joined by a shuffle of texts.
+SENT = 1_000_000
 RADIUS = 3
 SEGMENTS = 16
 #: Binary logarithm of the bits of the largest signature.
@@ -248,7 +256,8 @@ def candidate_tokens(rows: DataFrame, least: float = SIMILARITY, key: str = "row
     rounded up). Rows with fewer tokens that any other row has among their first are
     left. Of the others' shared tokens the rarest count, as many as leave no room for a
     pair without a common one; so what many texts repeat makes no candidates unless
-    they consist of little else. weight is the mean number of rows of a row's tokens.
+    they consist of little else. weight is the sum of the numbers of rows of a row's tokens:
+    greatest for the text around which others were edited.
     """
     if least < 0.5:
         raise ValueError("candidates cover similarities of 0.5 and more")
@@ -265,7 +274,7 @@ def candidate_tokens(rows: DataFrame, least: float = SIMILARITY, key: str = "row
     parts = arrow_map(rows.select(key, text), cut_up, "row long, n int, token long")
     common = parts.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
     need = F.greatest(F.lit(1), F.ceil(F.floor(F.col("n") * F.lit(least)) / F.lit(PART))).cast("int")
-    lists = common.groupBy("row").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"), F.avg("df").alias("weight"))
+    lists = common.groupBy("row").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"), F.sum("df").alias("weight"))
     lists = lists.withColumn("room", F.size("all") - need + 1).where("room > 0")
     return lists.select(F.explode(F.slice("all", F.lit(1), F.col("room"))).alias("x"), "row", "n", "weight").select("x.token", "row", "n", "weight")
 
@@ -279,8 +288,8 @@ def signature(text: str | None) -> tuple[int, bytes]:
     return len(tokens), np.packbits(bits, bitorder="little").tobytes()
 
 
-def most_similar(n: int, a: bytes, m: int, b: bytes) -> float:
-    """The similarity that two texts of these signatures can't exceed: each bit that only one has stands for a token that only it has."""
+def most_shared(n: int, a: bytes, m: int, b: bytes) -> int:
+    """The tokens that two texts of these signatures can't share more of: each bit that only one has stands for a token that only it has."""
     size = min(len(a), len(b))
     x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
     for _ in range((len(a) // size).bit_length() - 1):
@@ -289,7 +298,12 @@ def most_similar(n: int, a: bytes, m: int, b: bytes) -> float:
     for _ in range((len(b) // size).bit_length() - 1):
         y = y >> (y_half := 4 * len(b)) | y & (1 << y_half) - 1
         b = b[: len(b) // 2]
-    both = min(n - (x & ~y).bit_count(), m - (y & ~x).bit_count())
+    return min(n - (x & ~y).bit_count(), m - (y & ~x).bit_count())
+
+
+def most_similar(n: int, a: bytes, m: int, b: bytes) -> float:
+    """The similarity that two texts of these signatures can't exceed."""
+    both = most_shared(n, a, m, b)
     return both / (n + m - both) if n + m else 1.0
 
 
@@ -305,7 +319,7 @@ def signatures(texts: DataFrame) -> DataFrame:
 
 
 def likely_pairs(pairs: DataFrame, signs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b, root_a, root_b) whose signatures leave room for ``least`` similarity; no text is needed to tell."""
+    """The pairs (a, b, ...) whose signatures leave room for ``least`` similarity; no text is needed to tell."""
     kept = pairs.columns
     full = pairs.join(signs.toDF("a", "n_a", "bits_a"), "a").join(signs.toDF("b", "n_b", "bits_b"), "b")
 
@@ -318,7 +332,7 @@ def likely_pairs(pairs: DataFrame, signs: DataFrame, least: float) -> DataFrame:
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(a, b) of the roots of the pairs (a, b, root_a, root_b) whose texts (row, text) are at least ``least`` similar."""
+    """The pairs (a, b) whose texts (row, text) are at least ``least`` similar."""
     t = texts.toDF("k", "t")
     full = pairs.join(t.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(t.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
 
@@ -327,53 +341,178 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame
             near = [similarity(x, y) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return arrow_map(full.select("root_a", "root_b", "ta", "tb"), compare, "a long, b long")
+    return arrow_map(full.select("a", "b", "ta", "tb"), compare, "a long, b long")
+
+
+def differences(pairs: DataFrame, texts: DataFrame, signs: DataFrame, least: float) -> DataFrame:
+    """(pivot, row, m, n, d, token) of the pairs (row, pivot): how each row's text differs from its pivot's.
+
+    m and n are the numbers of tokens of the pivot and of the row, d is that of the tokens
+    that only one of them has. A row less than CORE from its pivot, and any row that may be
+    similar to one, is listed with each of these tokens, and once with a null token.
+    The texts of a pivot's rows meet the pivot's in buckets of BUCKET rows.
+    """
+    ring = differing(least)
+    far = CORE / least + ring * (1 + 1 / least)
+
+    def in_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            room = [n + m - 2 * most_shared(m, x, n, y) <= far * n + CORE * m + 1e-9 for m, x, n, y in zip(*(b.column(c).to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("pivot")], ["row", "pivot"]).filter(pa.array(room, pa.bool_()))
+
+    full = pairs.join(signs.toDF("pivot", "n_a", "bits_a"), "pivot").join(signs.toDF("row", "n_b", "bits_b"), "row")
+    near = cut(arrow_map(full, in_reach, "row long, pivot long"), "near_pivots")
+    buckets = near.groupBy("pivot").agg(F.ceil(F.count("*") / BUCKET).alias("buckets"))
+    dealt = near.join(buckets, "pivot").select("row", "pivot", F.pmod(F.xxhash64("row"), "buckets").alias("bucket"))
+    dealt = dealt.unionByName(dealt.select(F.col("pivot").alias("row"), "pivot", "bucket").distinct())
+    placed = dealt.join(texts.toDF("row", "text"), "row").select("pivot", "bucket", "row", "text")
+    placed = placed.repartition("pivot", "bucket").sortWithinPartitions("pivot", "bucket", F.col("row") != F.col("pivot"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = np.empty(0, np.uint64)
+        for b in batches:
+            found, held = [], 0
+            for pivot, row, text in zip(*(b.column(c).to_pylist() for c in ("pivot", "row", "text")), strict=True):
+                tokens = shingle_tokens(text)
+                if row == pivot:
+                    base = tokens
+                    continue
+                apart = np.setxor1d(base, tokens, assume_unique=True)
+                m, n, d = len(base), len(tokens), len(apart)
+                if d <= far * n + CORE * m + 1e-9:
+                    found.append((pivot, row, m, n, d, apart))
+                    held += d
+                if held > 1 << 17:
+                    yield listed(found)
+                    found, held = [], 0
+            if found:
+                yield listed(found)
+
+    def listed(found: list[tuple]) -> pa.RecordBatch:
+        sizes = [len(f[5]) + 1 for f in found]
+        many = [pa.array(np.repeat(np.asarray([f[k] for f in found], t), sizes)) for k, t in enumerate((np.int64, np.int64, np.int32, np.int32, np.int32))]
+        ends = np.cumsum(sizes) - 1
+        tokens, null = np.zeros(sum(sizes), np.int64), np.zeros(sum(sizes), bool)
+        null[ends] = True
+        tokens[~null] = np.concatenate([f[5] for f in found]).view(np.int64)
+        return pa.RecordBatch.from_arrays([*many, pa.array(tokens, mask=null)], ["pivot", "row", "m", "n", "d", "token"])
+
+    apart = cut(arrow_map(placed, run, "pivot long, row long, m int, n int, d int, token long"), "differences")
+    forget(near)
+    return apart
+
+
+def differing(least: float) -> float:
+    """The greatest part of their tokens, by the sum of both numbers, that only one of two texts of ``least`` similarity has."""
+    return (1 - least) / (1 + least)
+
+
+def close_entries(apart: DataFrame, least: float) -> DataFrame:
+    """(pivot, token, row, n, d, c): two similar rows of a pivot, of its ``differences``, have a token in common, if not both are similar to the pivot.
+
+    Two texts differ by the tokens in which just one of them differs from the pivot. So the
+    more of its tokens a row has apart from the pivot, the more of these a similar row has as
+    well: over d - ring (n + m), divided by 1 + ring. They have one in common among their
+    rarest, of which so many fewer are needed. c tokens of a row are not only its own.
+    """
+    ring = differing(least)
+    common = apart.where("token is not null").withColumn("df", F.count("*").over(Window.partitionBy("pivot", "token"))).where("df > 1")
+    need = F.greatest(F.lit(1), F.ceil((F.col("d") - (F.col("n") + F.col("m")) * F.lit(ring)) / F.lit(1 + ring) - 1e-9)).cast("int")
+    lists = common.groupBy("pivot", "row").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("d").alias("d"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"))
+    lists = lists.withColumn("c", F.size("all")).withColumn("room", F.col("c") - need + 1).where("room > 0")
+    return lists.select(F.explode(F.slice("all", F.lit(1), F.col("room"))).alias("x"), "pivot", "row", "n", "d", "c").select("pivot", "x.token", "row", "n", "d", "c")
+
+
+def close_pairs(entries: DataFrame, labels: DataFrame, least: float, star: int | None) -> DataFrame:
+    """(a, b): rows that meet in ``close_entries``, may be similar and have other roots in ``labels`` (row, root): with one row of each token (another for each star), or all pairs."""
+    ring = differing(least)
+    each = Window.partitionBy("pivot", "token")
+    mine = entries.join(labels.select("row", "root"), "row").withColumn("low", F.min("root").over(each)).withColumn("high", F.max("root").over(each)).where("low < high")
+    names = ["row", "n", "d", "c", "root"]
+    if star is None:
+        mine = mine.select("pivot", "token", *names)
+        both = mine.join(mine.select("pivot", "token", *(F.col(c).alias(f"{c}_b") for c in names)), ["pivot", "token"]).where("row < row_b")
+    else:
+        order = F.col("c") if star == 0 else F.xxhash64("row", F.lit(star))
+        both = mine.withColumn("top", F.max(F.struct(order.alias("order"), *names)).over(each)).select(*names, *(F.col("top")[c].alias(f"{c}_b") for c in names))
+    both = both.where("root <> root_b").where(2 * F.least("c", "c_b") >= F.col("d") + F.col("d_b") - (F.col("n") + F.col("n_b")) * F.lit(ring) - 1e-9)
+    both = both.where(F.least("n", "n_b") >= F.greatest("n", "n_b") * F.lit(least) - 1e-9)
+    return both.select(F.least("row", "row_b").alias("a"), F.greatest("row", "row_b").alias("b")).distinct()
 
 
 def similar_roots(rows: DataFrame, roots: DataFrame, least: float = SIMILARITY, key: str = "row", text: str = "text") -> DataFrame:
     """(root, to): where the components ``roots`` (row, root) of ``rows`` go by the pairs of at least ``least`` similarity.
 
-    The result is that of comparing all pairs. Pairs within a component need no comparison,
-    so a round first compares each token's row of greatest weight, in a group around one
-    text that text, with the token's rows of other components. Once the pairs of rows in
-    different components are few for the number of rows, or after ROUNDS, all are compared.
-    Signatures rule out most pairs before their texts are joined.
+    The result is that of comparing all pairs. Any two similar rows share a token. In a round
+    each token's row of greatest weight, in a group around one text that text, is the pivot
+    of the token's rows. They are compared with the pivot, and those close to it with one
+    another by what differs from it: edited copies of one text share its tokens, but hardly
+    their edits. All pairs of rows close to a pivot are found so, and the token is done with
+    those rows. Once the pairs of rows in different components that are left are few for the
+    number of rows, or after ROUNDS, all are compared. Signatures rule out most pairs before
+    their texts are joined.
     """
+    ring = differing(least)
     tokens = cut(candidate_tokens(rows, least, key, text), "tokens")
     listed = tokens.select("row").distinct()
-    texts = cut(rows.join(listed.withColumnRenamed("row", key), key, "left_semi").select(key, text), "texts")
+    texts = cut(semi(rows.select(F.col(key).alias("row"), F.col(text).alias("text")), listed), "texts")
     signs = cut(signatures(texts), "signatures")
     labels = cut(roots.join(listed, "row", "left_semi").select("row", F.col("root").alias("was"), "root"), "labels")
     few = FEW * tokens.count()
-    tried = None
+    each = Window.partitionBy("token")
     for k in range(ROUNDS + 1):
-        placed = cut(tokens.join(labels.select("row", "root"), "row"), "placed")
-        pivot = F.struct((F.col("weight") if k == 0 else F.xxhash64("row", F.lit(k))).alias("order"), "row", "n", "root")
-        met = placed.groupBy("token", "root").agg(F.count("*").alias("of"), F.max(pivot).alias("pivot")).groupBy("token")
-        met = cut(met.agg(F.sum("of").alias("all"), F.sum(F.col("of") * F.col("of")).alias("same"), F.max("pivot").alias("pivot")).where("all * all > same"), "met")
-        left = met.agg(F.sum(F.expr("all * all - same"))).first()[0] or 0
+        placed = tokens.join(labels.select("row", "root"), "row")
+        kinds = placed.groupBy("token", "root").agg(F.count("*").alias("of")).groupBy("token").agg(F.sum("of").alias("all"), F.sum(F.col("of") * F.col("of")).alias("same"))
+        left = kinds.agg(F.sum(F.expr("all * all - same"))).first()[0] or 0
         if not left:
             break
+        live = placed.withColumn("low", F.min("root").over(each)).withColumn("high", F.max("root").over(each)).where("low < high")
         last = left <= 2 * few or k == ROUNDS
-        mine = placed.join(met.select("token"), "token", "left_semi").select("token", "row", "n", "root")
-        other = mine if last else met.select("token", "pivot.row", "pivot.n", "pivot.root")
-        both = mine.join(other.toDF("token", "row_b", "n_b", "root_b"), "token").where("root <> root_b")
         if last:
-            both = both.where("row < row_b")
-        both = both.where(F.least("n", "n_b") >= F.greatest("n", "n_b") * F.lit(least) - 1e-9)
-        ends = [F.when(F.col("row") < F.col("row_b"), F.col(x)).otherwise(F.col(y)) for x, y in (("row", "row_b"), ("row_b", "row"), ("root", "root_b"), ("root_b", "root"))]
-        pairs = both.select(*(e.alias(c) for e, c in zip(ends, ("a", "b", "root_a", "root_b"), strict=True))).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        moved = connected_components(similar_pairs(likely_pairs(pairs, signs, least), texts, least)).toDF("root", "to")
-        labels, old = cut(labels.join(moved, "root", "left").select("row", "was", F.coalesce("to", "root").alias("root")), "labels"), labels
-        for done in (placed, met, old):
-            forget(done)
+            mine = live.select("token", "row", "n", "root")
+            both = mine.join(mine.toDF("token", "row_b", "n_b", "root_b"), "token").where("root <> root_b and row < row_b")
+            both = both.where(F.least("n", "n_b") >= F.greatest("n", "n_b") * F.lit(least) - 1e-9)
+            pairs = cut(both.select(F.col("row").alias("a"), F.col("row_b").alias("b")).distinct(), "pairs")
+        else:
+            # before labels change: the others of its token decide whether a row is left
+            live = cut(live.withColumn("pivot", F.max(F.struct("weight", "row")).over(each)["row"]).select("token", "row", "n", "weight", "pivot").where("row <> pivot"), "live")
+            apart = differences(live.select("row", "pivot").distinct(), texts, signs, least)
+            met = apart.where("token is null")
+            labels = relabelled(labels, met.where(F.col("d") <= (F.col("n") + F.col("m")) * F.lit(ring) + 1e-9).select(F.col("row").alias("a"), F.col("pivot").alias("b")))
+            entries = cut(close_entries(apart, least), "entries")
+            for star in range(0 if k else STARS):
+                some = cut(close_pairs(entries, labels, least, star), "some")
+                labels = relabelled(labels, similar_pairs(likely_pairs(some, signs, least), texts, least))
+                forget(some)
+            pairs = cut(close_pairs(entries, labels, least, None), "pairs")
+            close = met.where(F.col("d") <= (F.col("n") + F.col("m")) * F.lit(CORE)).select("row", "pivot")
+            tokens, old = cut(live.join(close, ["row", "pivot"], "left_anti").select("token", "row", "n", "weight"), "tokens"), tokens
+            for table in (old, live, apart, entries):
+                forget(table)
+        labels = relabelled(labels, similar_pairs(likely_pairs(pairs, signs, least), texts, least))
+        forget(pairs)
         if last:
             break
+    for table in (tokens, texts, signs):
+        forget(table)
     return labels.select(F.col("was").alias("root"), F.col("root").alias("to")).distinct()
 
 
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (row, was, root), whose files go, with the roots joined by links (a, b) between rows."""
+    ends = links.join(labels.select(F.col("row").alias("a"), F.col("root").alias("root_a")), "a").join(labels.select(F.col("row").alias("b"), F.col("root").alias("root_b")), "b")
+    moved = connected_components(ends.select("root_a", "root_b"), "root_a", "root_b").toDF("root", "to")
+    new = cut(labels.join(moved, "root", "left").select("row", "was", F.coalesce("to", "root").alias("root")), "labels")
+    forget(labels)
+    return new
+
+
+def semi(rows: DataFrame, listed: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``rows`` whose row is, or with left_anti is not, ``listed``: sent to all executors if at most SENT, so that texts need no shuffle."""
+    listed = cut(listed, "listed")
+    return rows.join(F.broadcast(listed) if listed.count() <= SENT else listed, "row", how)
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each group of near copies: the smallest id's (nulls last).
 
@@ -388,8 +527,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     rows = marked.select(column(row).alias("doc_id"), column(fp).alias("simhash"), column(doc_id).alias("id"))
     grouped = cut(_grouped(rows, radius).select(F.col("doc_id").alias("row"), "id", F.col("component_id").alias("root")), "groups")
     texts = marked.select(column(row).alias("row"), column(text).alias("text"))
-    once = texts.groupBy(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).agg(F.min("row").alias("row")).select("row")
-    moved = similar_roots(texts.join(once, "row", "left_semi"), grouped.select("row", "root"), least)
+    digests = texts.select("row", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+    again = digests.withColumn("first", F.min("row").over(Window.partitionBy("digest"))).where("row > first").select("row")
+    moved = similar_roots(semi(texts, again, "left_anti"), grouped.select("row", "root"), least)
     placed = grouped.join(moved, "root", "left").withColumn("root", F.coalesce("to", "root"))
     keep = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("best")).select(F.col("best.row").alias(row))
     return marked.join(keep, row, "left_semi").select(*map(column, docs.columns))

@@ -214,6 +214,19 @@ def test_rounds_without_all_pairs_agree(spark, monkeypatch):
     assert kept(spark, rows) == brute_kept(rows)
 
 
+def test_edited_copies_that_are_not_similar_are_hardly_compared(spark, monkeypatch):
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(5000)]
+    base = [rng.choice(vocab) for _ in range(150)]
+    rows = [(i, edited(rng, vocab, base, every)) for i, every in enumerate([24, 30, 36, 50] * 40)]
+    rows.insert(70, (500, " ".join(base)))
+    compared = []
+    likely = simhash.likely_pairs
+    monkeypatch.setattr(simhash, "likely_pairs", lambda pairs, *more: compared.append(pairs.count()) or likely(pairs, *more))
+    assert kept(spark, rows) == brute_kept(rows)
+    assert sum(compared) < len(rows) * 5  # of 12,880 pairs
+
+
 def test_one_of_each_keeps_columns_of_any_name(spark):
     rows = [(2, "a b c d e f g h i j k l m n o p q r s t", 1, 2, 3, 4), (1, "a b c d e f g h i j k l m n o p q r s t", 5, 6, 7, 8), (None, "a b c d e f g h i j k l m n o p q r s t", 0, 0, 0, 0), (3, "x " * 40_000, 9, 9, 9, 9), (4, None, 1, 1, 1, 1), (5, " ", 2, 2, 2, 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, __fp int, __row int, `a.b` int, row int")
